@@ -88,7 +88,7 @@ class _Upsert:
                         db.unregister("batch")
                         some = True
                 if some:
-                    reader = db.execute("SELECT * FROM state").to_arrow_reader(50_000)
+                    reader = db.sql("FROM state").to_arrow_reader(50_000)
                     yield from reader
         finally:
             shutil.rmtree(scratch, ignore_errors=True)
