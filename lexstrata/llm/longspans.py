@@ -15,7 +15,7 @@ their hashes, compared character by character, and joined to stretches.
 
 No pairs are formed: a key's group is passed once. What several documents of one batch share is settled before the shuffle,
 all but one of them leave the group, so copies and boilerplate held by a third of all documents come down to a row a
-batch; an anchor with more than HOT_ROWS rows left is spread by its single windows' hashes.
+batch; an anchor with more than HOT_ROWS rows and 1/HOT_SHARE of all is spread by its single windows' hashes.
 """
 
 from __future__ import annotations
@@ -28,11 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexstrata.session import cut_lineage
+
 LEAST = 200
 ROUNDS = 7
 FREEZE = 16  # symbols of this length aren't paired further
 LONGEST = 32  # runs this long stay single symbols
 HOT_ROWS = 20_000
+HOT_SHARE = 2_000
 CHUNK_CHARS = 400_000
 FILTER_BITS = 1 << 24
 
@@ -189,17 +192,17 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def _settle(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(known, spare): rows whose key another document of the batch has too, and those of them that needn't stay in the key's group because another row of the same key does."""
+def _settle(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(known, spare, size): rows whose key another document of the batch has too; those of them that needn't stay in the key's group because another row of the same key does; rows of the same key."""
     order = np.argsort(key, kind="stable")
     k, d = key[order], doc[order]
     cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
     size = np.diff(np.r_[cut, len(k)])
     shared = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
-    known, spare = np.zeros(len(k), bool), np.ones(len(k), bool)
-    known[order] = np.repeat(shared, size)
+    known, spare, rows = np.zeros(len(k), bool), np.ones(len(k), bool), np.zeros(len(k), np.int64)
+    known[order], rows[order] = np.repeat(shared, size), np.repeat(size, size)
     spare[order[cut]] = False
-    return known, known & spare
+    return known, known & spare, rows
 
 
 def _own_keys(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -207,7 +210,8 @@ def _own_keys(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return _mix(_mix(doc.astype(np.uint64)) + place.astype(np.uint64)).view(np.int64)
 
 
-FIRST_SCHEMA = "key long, doc long, sig long, at int, span int, known boolean"
+#: weight: how many rows of the batch a row stands for in its key's group; negative if it's known to be shared, 0 if another row stands for it.
+FIRST_SCHEMA = "core long, doc long, sig long, at int, span int, weight int"
 
 
 class _FirstPass:
@@ -229,9 +233,10 @@ class _FirstPass:
                 continue
             key, row, at, span = (np.concatenate(c) for c in zip(*parts, strict=True))
             doc, sig = docs[row], sigs[row]
-            known, spare = _settle(key, doc)
-            key = np.where(spare, _own_keys(doc, at), key)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(sig), pa.array(at.astype(np.int32)), pa.array(span.astype(np.int32)), pa.array(known)], ["key", "doc", "sig", "at", "span", "known"])
+            known, spare, size = _settle(key, doc)
+            weight = np.where(spare, 0, np.where(known, -size, 1))
+            columns = [key, doc, sig, at.astype(np.int32), span.astype(np.int32), weight.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "doc", "sig", "at", "span", "weight"])
 
 
 SECOND_SCHEMA = "key long, doc long, lo int, n int, text string"
@@ -240,8 +245,8 @@ SECOND_SCHEMA = "key long, doc long, lo int, n int, text string"
 class _SecondPass:
     """(doc, text, anchors) to window groups: key, first window start, number of windows, and their text (null: known to be shared)."""
 
-    def __init__(self, least: int):
-        self.least = least
+    def __init__(self, least: int, hot: frozenset[int]):
+        self.least, self.hot = least, hot
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = self.least
@@ -251,8 +256,8 @@ class _SecondPass:
             for d, t, anchors in zip(docs, texts, batch.column("anchors").to_pylist(), strict=True):
                 for a in anchors:
                     first, more = a["at"] - (a["span"] >> 16), a["span"] & 0xFFFF
-                    if not a["hot"]:
-                        key.append(a["key"])
+                    if a["core"] not in self.hot:
+                        key.append(a["core"])
                         doc.append(d)
                         lo.append(first)
                         n.append(more + 1)
@@ -273,7 +278,7 @@ class _SecondPass:
         table = pa.table({"k": pa.array(key, pa.int64()), "t": pa.array(text)})
         code = pa.compute.dictionary_encode(table["t"].combine_chunks()).indices.to_numpy().astype(np.int64)
         owner = np.array(doc, np.int64)
-        known, spare = _settle(code, owner)
+        known, spare, _ = _settle(code, owner)
         keys, starts = np.array(key, np.int64), np.array(lo, np.int64)
         # the one that stays is settled as well: it leaves a second row that says so
         stay = known & ~spare
@@ -404,11 +409,8 @@ def _maybe_in(df: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
     spot = F.pmod(F.xxhash64("doc", F.lit("filter")), F.lit(bits))
     df = df.withColumn("spot", spot).withColumn("slot", F.bitmap_bucket_number("spot"))
     joined = df.join(F.broadcast(_filter_of(ids, bits)), "slot")
-    position = F.bitmap_bit_position("spot")
-    octet = F.conv(F.hex(F.expr("substring(flags, cast(bitmap_bit_position(spot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    flag = F.expr("1").cast("int")
-    del flag
-    return joined.withColumn("__octet", octet).withColumn("__bit", (position % 8).cast("int")).where(F.expr("(shiftright(__octet, __bit) & 1) = 1")).drop("spot", "slot", "flags", "__octet", "__bit")
+    octet = "cast(conv(hex(substring(flags, cast(bitmap_bit_position(spot) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return joined.where(F.expr(f"(shiftright({octet}, cast(bitmap_bit_position(spot) % 8 as int)) & 1) = 1")).drop("spot", "slot", "flags")
 
 
 def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: Column | str = "text", least: int = LEAST, rounds: int = ROUNDS, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -425,21 +427,28 @@ def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: Column | str
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchors = picked.select("doc", "sig", "text").mapInArrow(_FirstPass(least, rounds), FIRST_SCHEMA)
+    # Rows that another one stands for go anywhere; so a key's group has at most one row a batch that several documents of it share.
+    route = F.when(F.col("weight") == 0, F.xxhash64("core", "doc", "at")).otherwise(F.col("core"))
     by_key = W.partitionBy("key")
-    met = anchors.withColumn("a", F.min("doc").over(by_key)).withColumn("b", F.max("doc").over(by_key)).withColumn("c", F.count(F.lit(1)).over(by_key))
-    met = met.where("known or a < b")
-    shared = met.groupBy("doc", "sig").agg(F.collect_set(F.struct("key", "at", "span", (F.col("c") > hot_rows).alias("hot"))).alias("anchors"))
-    from lexstrata.session import cut_lineage
-
-    shared = cut_lineage(shared)  # read twice: for the filter and for the join
+    met = anchors.withColumn("key", route).withColumn("a", F.min("doc").over(by_key)).withColumn("b", F.max("doc").over(by_key)).withColumn("rows", F.sum(F.abs("weight")).over(by_key))
+    met = met.where("weight <= 0 or a < b")
+    shared = met.groupBy("doc", "sig").agg(F.collect_set(F.struct("core", "at", "span", F.col("rows").cast("int").alias("rows"))).alias("anchors"))
+    shared = cut_lineage(shared)  # read three times: for the hot keys, the filter and the join
     some = _maybe_in(picked, shared.select("doc"), FILTER_BITS)
     rows = some.join(shared, ["doc", "sig"]).select("doc", "text", "anchors")
-    windows = rows.mapInArrow(_SecondPass(least), SECOND_SCHEMA)
+    windows = rows.mapInArrow(_SecondPass(least, _hot_keys(shared, hot_rows)), SECOND_SCHEMA)
     sorted_windows = windows.repartition(parts, "key").sortWithinPartitions("key")
     ranges = sorted_windows.mapInArrow(_Meet(least), "doc long, start int, end int")
     return _joined(ranges).select(F.col("doc").alias(doc_id), (F.col("start") + 1).alias("start_at"), (F.col("end") - F.col("start")).alias("span_len"))
 
 
+def _hot_keys(shared: DataFrame, hot_rows: int) -> frozenset[int]:
+    """Anchors with more than hot_rows rows and more than 1/HOT_SHARE of all: fewer than HOT_SHARE by construction."""
+    total = shared.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    each = shared.select(F.explode("anchors").alias("x")).select("x.core", "x.rows")
+    return frozenset(r[0] for r in each.where(F.col("rows") > max(hot_rows, total // HOT_SHARE)).select("core").distinct().collect())
+
+
 def _joined(ranges: DataFrame) -> DataFrame:
     """Overlapping and adjoining [start, end) of a document joined."""
     by_doc = W.partitionBy("doc").orderBy("start", "end")
