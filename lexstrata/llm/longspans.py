@@ -181,6 +181,19 @@ class Anchors:
         self.key = core.view(np.int64)
 
 
+def _segments(texts: list[str | None], least: int, most: int = CHUNK_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(pieces, row, offset): texts longer than `most` in pieces that overlap by least - 1 characters, so that each window lies whole in at least one."""
+    pieces, row, offset = [], [], []
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - least + 1), most):
+            pieces.append(t if len(t) <= most else t[a : a + most + least - 1])
+            row.append(i)
+            offset.append(a)
+            if len(t) <= most:
+                break
+    return pieces, np.array(row, np.int64), np.array(offset, np.int64)
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     begin, chars = 0, 0
     for i, t in enumerate(texts):
@@ -223,12 +236,12 @@ class _FirstPass:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, sigs = batch.column("doc").to_numpy(), batch.column("sig").to_numpy()
-            texts = batch.column("text").to_pylist()
+            texts, row_of, offset = _segments(batch.column("text").to_pylist(), self.least)
             parts = []
             for a, b in _chunks(texts):
                 x = Anchors(texts[a:b], self.least, self.rounds)
-                off = x.begins[x.owner]
-                parts.append((x.key, x.owner + a, x.place - off, (x.place - x.lo) << 16 | (x.hi - x.lo)))
+                piece = x.owner + a
+                parts.append((x.key, row_of[piece], x.place - x.begins[x.owner] + offset[piece], (x.place - x.lo) << 16 | (x.hi - x.lo)))
             if not parts or not any(len(p[0]) for p in parts):
                 continue
             key, row, at, span = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -453,7 +466,7 @@ def _joined(ranges: DataFrame) -> DataFrame:
     """Overlapping and adjoining [start, end) of a document joined."""
     by_doc = W.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
-    marked = ranges.distinct().withColumn("fresh", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    marked = ranges.withColumn("fresh", (reach.isNull() | (F.col("start") > reach)).cast("int"))
     marked = marked.withColumn("run", F.sum("fresh").over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
 

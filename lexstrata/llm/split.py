@@ -147,7 +147,7 @@ def split_texts(rows: DataFrame, text: Column | str, keys: dict[str, Column], li
 def lacking_chunks(articles: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Live rows longer than the limit of whose lines at least one is in no live row that names them as its parent.
 
-    Lines are compared by sha256. The key of the comparison is row and line, so neither a row with very many chunks
+    Rows without content or id don't count, and null parents point nowhere. Lines are compared by sha256. The key of the comparison is row and line, so neither a row with very many chunks
     nor one with very many lines is ever gathered in one place.
     """
     live = articles.where(F.col("deleted_at").isNull())
@@ -167,7 +167,7 @@ def split_articles(articles: DataFrame, limit: int = LIMIT, overlap: int = OVERL
     article_id is the row that was cut; parent_article_pk the whole article's (its own id if it is one); paragraph_no
     the chunk's own number or, in a whole article, that of the paragraph in which the piece begins (null before any).
     """
-    rows = lacking_chunks(articles, limit).dropDuplicates(["id", "content_hash"])
+    rows = lacking_chunks(articles, limit).withColumn("__text_hash", F.sha2("content", 256)).dropDuplicates(["id", "__text_hash"])
     keys = {"article_id": F.col("id"), "own_parent": F.col("parent_article_pk"), "own_paragraph": F.col("paragraph_no")}
     pieces = split_texts(rows, "content", keys, limit, overlap)
     whole = F.col("own_paragraph").isNull()
