@@ -4,7 +4,7 @@ Items are spread by a hash of their id over shards of about SHARD_WINDOWS contai
 a partition into k windows, k being the least number that could hold all: its size in one window, nothing in the others. The two
 partitions with the greatest spread (largest less smallest window) are merged with opposing imbalances, the fullest
 window of one with the emptiest of the other, until one partition is left: k nearly equal windows. If a window
-exceeds the capacity, k rises and the shard is packed anew.
+exceeds the capacity and no move or swap of single items relieves it, k rises and the shard is packed anew.
 
 Only ids and sizes move. An item above the capacity is cut into full containers and a rest; the rest is packed like an item.
 """
@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 8192
-SHARD_WINDOWS = 256
+SHARD_WINDOWS = 128
 PACK_SCHEMA = "container_id string, item_id long, piece_no int, first_unit long, units long"
 
 
@@ -58,13 +59,64 @@ def _merge(a, a_low, b, b_low, k):
     return [(s - least, i) for s, i in merged if s > least], [i for s, i in merged if s == least]
 
 
+def relieve(windows: list[list[int]], sizes: list[int], capacity: int) -> bool:
+    """Move or swap items out of windows above the capacity without filling another above it; whether none is left.
+
+    Each step lowers the total excess, taking the change nearest above the window's excess or else the largest.
+    """
+    size = np.array([*sizes, 0], np.int64)
+    home = np.full(len(sizes), -1)
+    for w, window in enumerate(windows):
+        home[window] = w
+    load = np.array([sum(sizes[i] for i in w) for w in windows], np.int64)
+    placed = np.flatnonzero(home >= 0)
+    for w in np.flatnonzero(load > capacity):
+        while load[w] > capacity:
+            own = np.array(windows[w])
+            others = placed[home[placed] != w]
+            # an own item against each other item, and against each window's free room
+            give = size[own][:, None] - np.r_[size[others], np.zeros(len(windows), np.int64)][None, :]
+            to = np.r_[home[others], np.arange(len(windows))]
+            fits = (give > 0) & (give <= (capacity - load)[to][None, :]) & (to != w)[None, :]
+            if not fits.any():
+                return False
+            enough = fits & (give >= load[w] - capacity)
+            i, j = divmod(int(np.argmin(np.where(enough, give, capacity + 1)) if enough.any() else np.argmax(np.where(fits, give, 0))), give.shape[1])
+            item, target, moved = int(own[i]), int(to[j]), int(give[i, j])
+            windows[w].remove(item)
+            windows[target].append(item)
+            home[item] = target
+            if j < len(others):
+                back = int(others[j])
+                windows[target].remove(back)
+                windows[w].append(back)
+                home[back] = w
+            load[w] -= moved
+            load[target] += moved
+    return True
+
+
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of item indexes, none above the capacity; every size must be within it."""
-    k = max(1, -(-sum(sizes) // capacity))
+    """Windows of item indexes, none above the capacity; every size must be within it.
+
+    Items with which not even the smallest other one fits are windows of their own and take no part in the balancing, nor do
+    items without any size, which go to the last window.
+    """
+    order = sorted((i for i in range(len(sizes)) if sizes[i]), key=lambda i: -sizes[i])
+    empty = [i for i in range(len(sizes)) if not sizes[i]]
+    alone = []
+    while len(alone) < len(order) - 1 and sizes[order[len(alone)]] + sizes[order[-1]] > capacity:
+        alone.append(order[len(alone)])
+    rest = sorted(order[len(alone) :])
+    loose = [sizes[i] for i in rest]
+    k = max(1, -(-sum(loose) // capacity))
     while True:
-        windows = differencing(sizes, k)
-        if all(sum(sizes[i] for i in w) <= capacity for w in windows):
-            return [w for w in windows if w]
+        windows = differencing(loose, k)
+        if relieve(windows, loose, capacity):
+            out = [[i] for i in alone] + [[rest[i] for i in w] for w in windows if w]
+            if empty:
+                out = [*out[:-1], (out[-1] if out else []) + empty]
+            return out
         k += max(1, k // 400)
 
 
