@@ -6,8 +6,13 @@ joined per query; a query is a handful of literal rows, whose size is known, and
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexstrata.functions import lexical
 from lexstrata.functions.temporal import in_force
@@ -71,15 +76,39 @@ def dense_search(vectors: DataFrame, vec_id: str, embedding: str, query: list[fl
     return scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
-def hashed_encoder(texts: DataFrame, text: str, out: str = "embedding", size: int = 64) -> DataFrame:
-    """A stand-in for a model's encoder: signed counts of hashed tokens, of unit length. A pluggable encoder is any function of this shape."""
-    toks = lexical.tokens(F.col(text))
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(size))
-    sign = lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.aggregate(F.filter(toks, lambda t: slot(t) == i), F.lit(0.0), lambda s, t: s + sign(t)))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = texts.withColumn("__raw", raw).withColumn("__n", norm(F.col("__raw")))
-    return unit.withColumn(out, F.transform("__raw", lambda x: F.when(F.col("__n") > 0, x / F.col("__n")).otherwise(0.0).cast("float"))).drop("__raw", "__n")
+def encoder(model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> Callable:
+    """A column function text -> ARRAY<FLOAT> from a model loader: loaded once a Python worker, called with batches of texts."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = model()
+        for texts in parts:
+            given = texts.fillna("").tolist()
+            out = [v for i in range(0, len(given), batch) for v in run(given[i : i + batch])]
+            yield pd.Series(out, index=texts.index)
+
+    return encode
+
+
+def hashed_model(size: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """A stand-in for a trained encoder: signed counts of hashed tokens, of unit length (all zero without tokens)."""
+    import xxhash
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), size), np.float32)
+        for row, text in zip(out, texts, strict=True):
+            for term in lexical.query_terms(text):
+                h = xxhash.xxh64_intdigest(term)
+                row[h % size] += 1 if h >> 63 else -1
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+    return run
+
+
+def hashed_encoder(texts: DataFrame, text: str, out: str = "embedding") -> DataFrame:
+    """texts with a vector from the stand-in encoder; a null text has that of an empty one."""
+    return texts.withColumn(out, encoder(hashed_model)(F.col(text)))
 
 
 def resolve_hits(hits: DataFrame, source: DataFrame, ledger: DataFrame, day: Column, limit: int) -> DataFrame:
