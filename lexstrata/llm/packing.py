@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 CAPACITY = 8192
 SHARD_WINDOWS = 128
+SHARDS_A_TASK = 256
 PACK_SCHEMA = "container_id string, item_id long, piece_no int, first_unit long, units long"
 
 
@@ -159,5 +160,7 @@ def fill_containers(items: DataFrame, item_id: str, size: Column, capacity: int
     total = loose.agg(F.sum("units"), F.count(F.lit(1))).first()
     by_load, by_count = (total[0] or 0) // (capacity * shard_windows), (total[1] or 0) // (shard_windows * 64)
     shards = int(max(1, by_load, by_count))
-    placed = loose.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece_no", F.lit("shard")), F.lit(shards)))
+    # Little data but much computing a shard: the number of tasks follows the shards, not the bytes that adaptive execution would go by.
+    tasks = min(shards, max(4 * items.sparkSession.sparkContext.defaultParallelism, shards // SHARDS_A_TASK))
+    placed = loose.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece_no", F.lit("shard")), F.lit(shards))).repartition(tasks, "shard")
     return placed.groupBy("shard").applyInArrow(_pack_shard(capacity), PACK_SCHEMA).unionByName(whole)
