@@ -45,10 +45,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    """The documents in containers of 8,192 tokens of the byte-level tokenizer: one a UTF-8 byte and an end mark."""
+    """The documents in containers of 8,192 tokens, by their n_tokens (of the public byte-level tokenizer); no text is read."""
     docs = table(spark, d, "documents")
-    size = F.coalesce(F.col("n_tokens"), F.octet_length("text") + 1)
-    return packing.fill_containers(docs, "doc_id", size).select("container_id", F.col("item_id").alias("doc_id"), "piece_no", "first_unit", "units")
+    return packing.fill_containers(docs, "doc_id", F.col("n_tokens")).select("container_id", F.col("item_id").alias("doc_id"), "piece_no", "first_unit", "units")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
