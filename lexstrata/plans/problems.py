@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import digits_of, is_blank, trim_any
 from lexstrata.operators import changefeed, history, orphans, snapdiff, variants
-from lexstrata.session import table
+from lexstrata.session import checkpoint_dir, table
+from lexstrata.streaming import sync
 
 # --- 2: references to records that do not exist
 
@@ -197,7 +201,38 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_nodes(spark, d).select(F.col("record_id").alias("body_id"), "node_level", *variants.PLACES).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p5_found, p5_titles, p6_found, p7_found, p7_nodes)}
+# White space anywhere in the text, raw or escaped, makes no difference to where objects stand.
+_EACH = "CASE json_type({v}) WHEN 'OBJECT' THEN [{v}] WHEN 'ARRAY' THEN json_extract({v}, '$[*]') ELSE [] END"
+
+
+def _level(name: str, source: str, holder: str, label: str, places: str) -> str:
+    value = f"json_extract({holder}, '$.\"{label}\"')"
+    return f"""{name} AS (SELECT * FROM (SELECT body_id, {places}unnest(xs) AS x, generate_subscripts(xs, 1) AS {name}_pos FROM (SELECT *, {_EACH.format(v=value)} AS xs FROM {source})) WHERE json_type(x) = 'OBJECT')"""
+
+
+P7_SQL = rf"""
+WITH body AS (SELECT DISTINCT body_id, regexp_replace(body, '(\\[nrtf]|[\s\pZ])+', '', 'g')::JSON AS j FROM law_bodies_raw WHERE json_valid(body)),
+top AS (SELECT body_id, json_extract(j, '$."법령"."조문"') AS x FROM body),
+{_level("jo", "top", "x", "조문단위", "")},
+{_level("hang", "jo", "x", "항", "jo_pos, ")},
+{_level("ho", "hang", "x", "호", "jo_pos, hang_pos, ")},
+{_level("mok", "ho", "x", "목", "jo_pos, hang_pos, ho_pos, ")}
+SELECT DISTINCT body_id, '조문단위' AS node_level, jo_pos::INT AS jo_pos, 0 AS hang_pos, 0 AS ho_pos, 0 AS mok_pos FROM jo
+UNION ALL SELECT DISTINCT body_id, '항', jo_pos::INT, hang_pos::INT, 0, 0 FROM hang
+UNION ALL SELECT DISTINCT body_id, '호', jo_pos::INT, hang_pos::INT, ho_pos::INT, 0 FROM ho
+UNION ALL SELECT DISTINCT body_id, '목', jo_pos::INT, hang_pos::INT, ho_pos::INT, mok_pos::INT FROM mok
+"""
+
+
+def change_feed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Problem 6 as a stream: the feed's files through the incremental job into a published state, and what exists in it."""
+    root = os.path.join(checkpoint_dir(spark), f"feed-{uuid.uuid4().hex}")
+    schema = table(spark, d, "ls_hst_inf").schema
+    sync.apply_feed(spark, f"{d}/ls_hst_inf.parquet*", schema, f"{root}/state", f"{root}/progress", feed_parts).awaitTermination()
+    return changefeed.current_rows(changefeed.read_published(spark, f"{root}/state"), ["law_id", "mst"], ["enforcement_date", "revision_type"])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p5_found, p5_titles, p6_found, p7_found, p7_nodes, change_feed_stream)}
 SQL = {
     "p2_found": P2_SQL,
     "p2_report": f"SELECT ref_name, period, kind, count(*) AS n_rows FROM ({P2_SQL}) GROUP BY ALL",
@@ -205,4 +240,6 @@ SQL = {
     "p5_found": P5_SQL,
     "p5_titles": P5_TITLES_SQL,
     "p6_found": P6_SQL,
+    "change_feed_stream": P6_SQL,
+    "p7_found": P7_SQL,
 }
