@@ -75,5 +75,33 @@ sub AS (SELECT DISTINCT parent_article_pk AS id, unnest(string_split(content, ch
 SELECT DISTINCT id AS article_id FROM big WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.id = big.id AND sub.line = big.line)
 """
 
+_DIGITS = "nullif(regexp_replace(translate(code, '０１２３４５６７８９', '0123456789'), '[^0-9]', '', 'g'), '')"
+
+P3_SQL = f"""
+WITH a AS (SELECT DISTINCT id, law_id, article_no, paragraph_no, content, {normalize.form_sql("content")} AS form FROM law_articles WHERE deleted_at IS NULL),
+n AS (SELECT row_id, {_DIGITS} AS code, snapshot_date, name_ko FROM hs_node_snapshots WHERE {_DIGITS} IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY snapshot_date, {_DIGITS} ORDER BY loaded_at DESC, row_id DESC) = 1),
+days AS (SELECT snapshot_date, lead(snapshot_date) OVER (ORDER BY snapshot_date) AS after FROM (SELECT DISTINCT snapshot_date FROM hs_node_snapshots)),
+m AS (SELECT x.row_id AS r1, y.row_id AS r2, x.name_ko AS n1, y.name_ko AS n2 FROM n x JOIN days USING (snapshot_date) JOIN n y ON y.code = x.code AND y.snapshot_date = days.after WHERE x.name_ko <> y.name_ko)
+SELECT DISTINCT 'law_articles' AS src, x.id AS lo_id, y.id AS hi_id FROM a x JOIN a y
+  ON x.law_id IS NOT DISTINCT FROM y.law_id AND x.article_no IS NOT DISTINCT FROM y.article_no AND x.paragraph_no IS NOT DISTINCT FROM y.paragraph_no AND x.form = y.form AND x.content <> y.content AND x.id < y.id
+UNION ALL SELECT DISTINCT 'hs_node_snapshots', least(r1, r2), greatest(r1, r2) FROM m WHERE {normalize.form_sql("n1")} = {normalize.form_sql("n2")}
+"""
+
+P9_SQL = f"""
+WITH i AS (SELECT item_id, {normalize.letters_sql("text")} AS f FROM eval_items), d AS (SELECT doc_id, {normalize.letters_sql("text")} AS f FROM documents),
+ig AS (SELECT DISTINCT item_id, substring(f, k, 50) AS g FROM (SELECT *, unnest(range(1, length(f) - 48)) AS k FROM i)),
+dg AS (SELECT DISTINCT doc_id, substring(f, k, 50) AS g FROM (SELECT *, unnest(range(1, length(f) - 48)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+P10_SQL = """
+WITH w AS (SELECT doc_id, k, hash(substring(text, k, 200)) AS g FROM (SELECT DISTINCT doc_id, text, unnest(range(1, length(text) - 198)) AS k FROM documents)),
+s AS (SELECT doc_id, k FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id))),
+m AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 200 THEN 0 ELSE 1 END AS fresh FROM s),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM m)
+SELECT doc_id, min(k)::INT AS start_at, (max(k) - min(k) + 200)::INT AS span_len FROM r GROUP BY doc_id, run
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p8_containers, p9_found, p9_cleaned, p10_found, p10_report)}
-SQL = {"p1_found": P1_SQL}
+SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p9_found": P9_SQL, "p10_found": P10_SQL}
