@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +32,15 @@ def query_terms(text: str | None) -> list[str]:
     return list(out)
 
 
+def token_counts(text: str | None) -> tuple[Counter[str], int]:
+    """(how often each token occurs, number of tokens) of one text; equals counting tokens()."""
+    counts = Counter(re.findall(RUNS, (text or "").lower()))
+    for run, n in [x for x in counts.items() if x[0] >= "가"]:
+        for a, b in zip(run, run[1:]):
+            counts[a + b] += n
+    return counts, counts.total()
+
+
 def token_id(token: Column) -> Column:
     """The first four bytes of the MD5, little-endian, as a LONG."""
     h = F.md5(token)

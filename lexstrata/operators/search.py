@@ -7,9 +7,12 @@ joined per query; a query is a handful of literal rows, whose size is known, and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,23 +21,57 @@ from lexstrata.functions import lexical
 from lexstrata.functions.temporal import in_force
 from lexstrata.functions.text import first_line
 from lexstrata.operators.ledger import KEY
+from lexstrata.session import cut_lineage
 
 ARMS = ("dense", "bm25")
 RECALL = 3
 API_LIMIT = 20
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, token_id, tf, length, weight) of every distinct token of every document; ids are assumed distinct."""
-    toks = docs.select(F.col(doc_id).alias("doc_id"), lexical.tokens(F.col(text)).alias("toks"))
-    each = toks.select("doc_id", F.size("toks").alias("length"), F.explode("toks").alias("token"))
-    counted = each.groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.select("doc_id", lexical.token_id(F.col("token")).alias("token_id"), "tf", "length", lexical.tf_weight(F.col("tf"), F.col("length")).alias("weight"))
+class _Postings:
+    """Arrow batches (doc_id, text) to postings; wanted: the only tokens that leave, None for all."""
+
+    def __init__(self, wanted: frozenset[str] | None):
+        self.wanted = wanted
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(1 << 18)
+        def number(token: str) -> int:
+            return int.from_bytes(md5(token.encode()).digest()[:4], "little")
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                ids, tfs, lengths, firsts, rows = [], [], [], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    counts, length = lexical.token_counts(text)
+                    seen: set[int] = set()
+                    for token in counts if self.wanted is None else self.wanted & counts.keys():
+                        i = number(token)
+                        ids.append(i)
+                        tfs.append(counts[token])
+                        lengths.append(length)
+                        firsts.append(i not in seen)
+                        rows.append(row)
+                        seen.add(i)
+                doc = part.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.int64()), pa.array(tfs, pa.int64()), pa.array(lengths, pa.int64()), pa.array(firsts, pa.bool_())], ["doc_id", "token_id", "tf", "length", "first"])
+
+
+def postings(docs: DataFrame, doc_id: str, text: str, wanted: list[str] | None = None) -> DataFrame:
+    """(doc_id, token_id, tf, length, first, weight) of every distinct token of every document; ids are assumed distinct.
+
+    Counted within each row, so nothing is shuffled. first: whether it's the document's first token of this id (ids may collide).
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("token_id", T.LongType()), T.StructField("tf", T.LongType()), T.StructField("length", T.LongType()), T.StructField("first", T.BooleanType())])
+    out = rows.mapInArrow(_Postings(None if wanted is None else frozenset(wanted)), schema)
+    return out.withColumn("weight", lexical.tf_weight(F.col("tf"), F.col("length")))
 
 
 def document_frequencies(posted: DataFrame) -> DataFrame:
-    """(token_id, df)."""
-    return posted.groupBy("token_id").agg(F.count_distinct("doc_id").alias("df"))
+    """(token_id, df): documents a token id; combined map-side."""
+    return posted.groupBy("token_id").agg(F.count_if("first").alias("df"))
 
 
 def query_tokens(docs: DataFrame, query: str) -> DataFrame:
@@ -44,22 +81,21 @@ def query_tokens(docs: DataFrame, query: str) -> DataFrame:
 
 
 def bm25_search(posted: DataFrame, n_docs: DataFrame, query: str, limit: int) -> DataFrame:
-    """(doc_id, score): the best documents that hold any of the query's tokens; ties by id. n_docs: one row, one column."""
-    wanted = query_tokens(posted, query)
-    hits = posted.join(F.broadcast(wanted), "token_id")
-    df = hits.groupBy("token_id").agg(F.count_distinct("doc_id").alias("df"))
-    scored = hits.join(df, "token_id").groupBy("doc_id").agg(F.sum(F.col("weight") * lexical.idf(n_docs.scalar(), F.col("df"))).alias("score"))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(limit)
+    """(doc_id, score): the best documents that hold any of the query's tokens; ties by id. posted: all postings; n_docs: one row, one column."""
+    return _scored(posted.join(F.broadcast(query_tokens(posted, query)), "token_id"), n_docs, limit)
 
 
 def bm25_scan(docs: DataFrame, doc_id: str, text: str, query: str, limit: int) -> DataFrame:
     """The keyword arm without a postings table: only the query's tokens ever leave a document's row."""
-    terms = lexical.query_terms(query)
-    toks = docs.select(F.col(doc_id).alias("doc_id"), lexical.tokens(F.col(text)).alias("toks"))
-    kept = toks.select("doc_id", F.size("toks").alias("length"), F.filter("toks", lambda t: t.isin(*terms)).alias("hit"))
-    each = kept.select("doc_id", "length", F.explode("hit").alias("token")).groupBy("doc_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-    posted = each.select("doc_id", lexical.token_id(F.col("token")).alias("token_id"), lexical.tf_weight(F.col("tf"), F.col("length")).alias("weight"))
-    return bm25_search(posted, docs.agg(F.count(F.lit(1))), query, limit)
+    return _scored(postings(docs, doc_id, text, lexical.query_terms(query)), docs.agg(F.count(F.lit(1))), limit)
+
+
+def _scored(hits: DataFrame, n_docs: DataFrame, limit: int) -> DataFrame:
+    """Hits are written once, for the tokens' frequencies (a short list, joined back) and for the sums."""
+    hits = cut_lineage(hits.select("doc_id", "token_id", "first", "weight"))
+    df = document_frequencies(hits)
+    scored = hits.join(F.broadcast(df), "token_id").groupBy("doc_id").agg(F.sum(F.col("weight") * lexical.idf(n_docs.scalar(), F.col("df"))).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -88,6 +88,7 @@ def test_tokens(spark):
     got = {r.i: r.k for r in df.select("i", lexical.tokens(F.col("t")).alias("k")).collect()}
     assert got == {i: model(t) for i, t in enumerate(TEXTS)}
     assert got[0] == ["관세", "관세"]
+    assert all(sorted(lexical.token_counts(t)[0].elements()) == sorted(model(t)) and lexical.token_counts(t)[1] == len(model(t)) for t in TEXTS)
     assert all(set(lexical.query_terms(t)) == set(model(t)) for t in TEXTS)
 
 
