@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexstrata.session import cut_lineage
+
 LIMIT = 6000
 OVERLAP = 200
 
@@ -151,7 +153,7 @@ def lacking_chunks(articles: DataFrame, limit: int = LIMIT) -> DataFrame:
     nor one with very many lines is ever gathered in one place.
     """
     live = articles.where(F.col("deleted_at").isNull())
-    large = live.where(F.length("content") > limit)
+    large = cut_lineage(live.where(F.length("content") > limit))  # few rows, used four times: else as many scans of all texts
     lines = lambda c: F.transform(F.split(c, "\n", -1), lambda x: F.sha2(x, 256))
     own = large.select("id", F.explode(F.array_distinct(lines("content"))).alias("line")).distinct()
     chunks = live.where(F.col("parent_article_pk").isNotNull()).select(F.col("parent_article_pk").alias("id"), "content")
@@ -167,6 +169,7 @@ def split_articles(articles: DataFrame, limit: int = LIMIT, overlap: int = OVERL
     article_id is the row that was cut; parent_article_pk the whole article's (its own id if it is one); paragraph_no
     the chunk's own number or, in a whole article, that of the paragraph in which the piece begins (null before any).
     """
+    articles = articles.select("id", "content", "parent_article_pk", "paragraph_no", "deleted_at")
     rows = lacking_chunks(articles, limit).withColumn("__text_hash", F.sha2("content", 256)).dropDuplicates(["id", "__text_hash"])
     keys = {"article_id": F.col("id"), "own_parent": F.col("parent_article_pk"), "own_paragraph": F.col("paragraph_no")}
     pieces = split_texts(rows, "content", keys, limit, overlap)
