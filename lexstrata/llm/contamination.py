@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lexstrata.llm.normalize import BatchSql, form_of, letters_sql, with_sql
+from lexstrata.session import cut_lineage
 
 MIN_RUN = 50
 BLOCK_CHARS = 250_000
@@ -200,6 +201,7 @@ def item_blocks(items: DataFrame, item_id: str, text: str, limit: int, block_cha
             yield [(r["id"], r["folded"]) for r in folded.orderBy("id", "folded").collect()]
         return
     # Blocks by a running sum within hash classes, each of which is of bounded size on average; one block at a time comes to the driver.
+    folded = cut_lineage(folded)
     classes = -(-2 * total // block_chars)
     w = W.partitionBy("class").orderBy("id", "folded").rowsBetween(W.unboundedPreceding, -1)
     placed = folded.withColumn("class", F.pmod(F.xxhash64("id", "folded"), F.lit(classes)))
