@@ -14,12 +14,13 @@ TRADE_TYPES = {"1": "수출", "2": "수입"}
 def sweep_items(progress: DataFrame) -> DataFrame:
     """One row an item of a sweep log, fields trimmed, in an explicit order: (hs, law_code, law_name, agency_code, agency_name, trade_type, valid_from, document, rtm_tpcd, seq).
 
-    seq orders what came first and last: sweep time, record, place in the record; repeated records count once. An
-    unknown direction raises.
+    seq orders what came first and last: sweep time, record, place in the record; repeated records count once. Rows
+    without a direction are left out, an unknown one raises.
     """
     known = F.create_map(*[F.lit(x) for pair in TRADE_TYPES.items() for x in pair])
-    kind = F.coalesce(F.try_element_at(known, trim_any("tpcd")), F.raise_error(F.concat(F.lit("unknown trade direction "), F.coalesce("tpcd", F.lit("null")))))
-    rows = progress.where(F.col("items").isNotNull() & (F.size("items") > 0)).select("rec_no", "swept_at", digits_of("hs").alias("hs"), kind.alias("trade_type"), F.posexplode("items").alias("place", "i"))
+    kind = F.coalesce(F.try_element_at(known, trim_any("tpcd")), F.raise_error(F.concat(F.lit("unknown trade direction "), F.col("tpcd"))))
+    told = progress.where(F.col("tpcd").isNotNull() & F.col("items").isNotNull() & (F.size("items") > 0))
+    rows = told.select("rec_no", "swept_at", digits_of("hs").alias("hs"), kind.alias("trade_type"), F.posexplode("items").alias("place", "i"))
     clean = lambda f: F.coalesce(trim_any(f"i.{f}"), F.lit(""))
     rows = rows.where(F.col("i").isNotNull())
     return rows.select(

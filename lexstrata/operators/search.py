@@ -106,8 +106,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_search(vectors: DataFrame, vec_id: str, embedding: str, query: list[float], limit: int) -> DataFrame:
-    """(doc_id, score): exact cosine top-k; only ids and scores are sorted."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+    """(doc_id, score): exact cosine top-k; only ids and scores are sorted. Null and zero vectors, and all if the query is empty, have no score and no place."""
+    q = F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
     scored = vectors.select(F.col(vec_id).alias("doc_id"), cosine(F.col(embedding), q).alias("score")).where(F.col("score").isNotNull())
     return scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 

@@ -335,8 +335,8 @@ _DENSE = "dn AS (SELECT e.vec_id AS doc_id, list_cosine_similarity(e.embedding::
 
 def dense_hits(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    asked = vectors.where("vec_id = 0").first()["embedding"]
-    return search.dense_search(vectors, "vec_id", "embedding", list(asked), 20)
+    asked = vectors.where("vec_id = 0 and embedding is not null").first()
+    return search.dense_search(vectors, "vec_id", "embedding", list(asked["embedding"]) if asked else [], 20)
 
 
 @query(f"WITH {_DENSE} SELECT doc_id, round(score, 6) AS score FROM dn")
