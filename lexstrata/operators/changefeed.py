@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMORY_LIMIT = "256MB"
+BUCKET_ROWS = 500_000
 ABSENT = -1  # the sequence of a field, or of a reset, that was never seen
 
 
@@ -67,11 +68,14 @@ def upsert_sql(keys: list[str], fields: list[str]) -> tuple[str, str]:
 
 
 class _Upsert:
-    """One bucket's embedded database: takes Arrow batches, yields the merged state."""
+    """One bucket's embedded database: takes Arrow batches, yields the merged state.
 
-    def __init__(self, keys: list[str], fields: list[str], memory: str):
+    flush: as a combiner, hand on the state whenever it has so many rows and begin anew; None: keep all until the end.
+    """
+
+    def __init__(self, keys: list[str], fields: list[str], memory: str, flush: int | None = None):
         self.create, self.upsert = upsert_sql(keys, fields)
-        self.memory = memory
+        self.memory, self.flush = memory, flush
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -80,29 +84,32 @@ class _Upsert:
         try:
             with duckdb.connect(config={"threads": 1, "memory_limit": self.memory, "temp_directory": scratch}) as db:
                 db.execute(self.create)
-                some = False
                 for batch in batches:
                     if batch.num_rows:
                         db.register("batch", pa.Table.from_batches([batch]))
                         db.execute(self.upsert)
                         db.unregister("batch")
-                        some = True
-                if some:
-                    reader = db.sql("FROM state").to_arrow_reader(50_000)
-                    yield from reader
+                        if self.flush and db.execute("SELECT count(*) FROM state").fetchall()[0][0] >= self.flush:
+                            yield from db.sql("FROM state").to_arrow_reader(50_000)
+                            db.execute("DROP TABLE state")
+                            db.execute(self.create)
+                yield from db.sql("FROM state").to_arrow_reader(50_000)
         finally:
             shutil.rmtree(scratch, ignore_errors=True)
 
 
-def merge_states(states: DataFrame, keys: list[str], fields: list[str], buckets: int | None = None, memory: str = MEMORY_LIMIT) -> DataFrame:
-    """One state row a key, tombstones included. buckets: default spark.sql.shuffle.partitions."""
+def merge_states(states: DataFrame, keys: list[str], fields: list[str], buckets: int | None = None, memory: str = MEMORY_LIMIT, flush: int = BUCKET_ROWS) -> DataFrame:
+    """One state row a key, tombstones included.
+
+    buckets: by default as many as keep a bucket near BUCKET_ROWS keys at most, spark.sql.shuffle.partitions at least; an
+    embedded database's index must fit its memory, so their number has to follow the rows.
+    """
     spark = states.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-states.count() // BUCKET_ROWS))
     schema = ", ".join([*[f"`{k}` string" for k in keys], "reset_op string, reset_seq long", *[f"`{f}` string, `{f}_seq` long" for f in fields]])
     names = [*keys, "reset_op", "reset_seq", *[x for f in fields for x in (f, f"{f}_seq")]]
-    upsert = _Upsert(keys, fields, memory)
-    combined = states.select(*names).mapInArrow(upsert, schema)
-    return combined.repartition(buckets, *keys).mapInArrow(upsert, schema)
+    combined = states.select(*names).mapInArrow(_Upsert(keys, fields, memory, flush), schema)
+    return combined.repartition(buckets, *keys).mapInArrow(_Upsert(keys, fields, memory), schema)
 
 
 def current_rows(states: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

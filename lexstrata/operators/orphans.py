@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 HOT_SHARE = 200
@@ -84,6 +83,3 @@ def find_orphans(refs: DataFrame, parents: DataFrame, salted: bool = True) -> Da
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """Orphans counted per reference, month and kind."""
     return orphans.groupBy("ref_name", "period", "kind").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-ORPHAN_SCHEMA = T.StructType([T.StructField("ref_name", T.StringType()), T.StructField("row_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("period", T.StringType())])

@@ -27,10 +27,3 @@ def apply_feed(spark: SparkSession, landing: str, schema: StructType, root: str,
 
     stream = spark.readStream.schema(schema).format(file_format).load(landing)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def daily_counts(changes: DataFrame, ts: str, late: str = "7 days") -> DataFrame:
-    """Changes a day and kind on a stream; what comes later than `late` behind the newest is left out."""
-    from pyspark.sql import functions as F
-
-    return changes.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("day"), F.upper(F.trim("op")).alias("op")).agg(F.count(F.lit(1)).alias("n_changes"))

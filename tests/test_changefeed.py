@@ -65,6 +65,17 @@ def test_in_pieces_with_tombstones(spark):
     assert current(late) == []
 
 
+def test_combiner_hands_on_early(spark):
+    changes = feed(3)
+    p = parts()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        states = changefeed.change_states(frame(spark, changes).repartition(2), **p)
+        assert current(changefeed.merge_states(states, ["k1", "k2"], ["a", "b"], 2, flush=3)) == brute(changes)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_empty(spark):
     assert current(changefeed.apply_changes(frame(spark, []), **parts())) == []
 
