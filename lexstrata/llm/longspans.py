@@ -53,17 +53,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the rolling hash's base, grown as needed."""
+    """Powers of a number modulo 2**64, grown as needed."""
 
-    values = np.ones(1, np.uint64)
+    def __init__(self, base: int):
+        self.base, self.values = _U(base), np.ones(1, np.uint64)
 
-    @classmethod
-    def upto(cls, n: int) -> np.ndarray:
-        if len(cls.values) <= n:
-            p = np.full(max(n + 1, CHUNK_CHARS + 1), _BASE, np.uint64)
+    def upto(self, n: int) -> np.ndarray:
+        if len(self.values) <= n:
+            p = np.full(max(n + 1, CHUNK_CHARS + 1), self.base, np.uint64)
             p[0] = 1
-            cls.values = np.multiply.accumulate(p)
-        return cls.values[: n + 1]
+            self.values = np.multiply.accumulate(p)
+        return self.values[: n + 1]
+
+
+_POWERS, _INVERSES = _Powers(int(_BASE)), _Powers(pow(int(_BASE), -1, 1 << 64))
 
 
 class RollingHash:
@@ -71,31 +74,13 @@ class RollingHash:
 
     def __init__(self, points: np.ndarray):
         n = len(points)
-        self.top, self.power = n, _Powers.upto(n)
+        self.inverse = _INVERSES.upto(n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(points.astype(np.uint64) + _BASE) * self.power[:n], out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The power is put to that of the buffer's end, hence equal only within buffers of one length; see between()."""
-        return (self.sums[ends] - self.sums[starts]) * self.power[self.top - starts]
-
-    def between(self, starts: np.ndarray, ends: np.ndarray, inverse: np.ndarray) -> np.ndarray:
-        """Equal for equal substrings of any buffers."""
-        return _mix((self.sums[ends] - self.sums[starts]) * inverse[starts])
+        np.cumsum(_mix(points.astype(np.uint64) + _BASE) * _POWERS.upto(n)[:n], out=self.sums[1:])
 
-
-class _Inverse:
-    """Powers of the base's inverse modulo 2**64: they take a substring's hash to the origin."""
-
-    values = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> np.ndarray:
-        if len(cls.values) <= n:
-            p = np.full(max(n + 1, CHUNK_CHARS + 1), _U(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-            p[0] = 1
-            cls.values = np.multiply.accumulate(p)
-        return cls.values[: n + 1]
+    def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Equal for equal substrings of any buffers: the base's inverse takes each to the origin."""
+        return _mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
 def recompress(points: np.ndarray, firsts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +162,7 @@ class Anchors:
         self.lo, self.hi = lo[some] - margin, hi[some] - margin
         self.begins = begins
         rolling = RollingHash(points)
-        core = rolling.between(self.place - margin, self.place + least - margin - middle + 1, _Inverse.upto(len(points)))
+        core = rolling.between(self.place - margin, self.place + least - margin - middle + 1)
         self.key = core.view(np.int64)
 
 
@@ -369,7 +354,7 @@ class _Meet:
         row = np.repeat(np.arange(len(n)), n)
         within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
         at = begins[row] + within
-        mark = RollingHash(points).between(at, at + self.least, _Inverse.upto(len(points)))
+        mark = RollingHash(points).between(at, at + self.least)
         mark = _mix(mark + key[row].view(np.uint64))
         order = np.argsort(mark, kind="stable")
         m, d = mark[order], doc[row[order]]

@@ -31,7 +31,7 @@ LETTERS = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ": "ABEZHIKMNOPTYXC",
     "οϲϳ": "ocj",
     "АВЕЅІЈКМНОРСТУХҮԌԚԜҺӀ": "ABESIJKMHOPCTYXYGQWhI",
-    "авеѕіјоргсухһԛԝԁ".replace("в", "").replace("г", ""): "aesijopcyxhqwd",
+    "аеѕіјорсухһԛԝԁ": "aesijopcyxhqwd",
 }
 
 # Marks that look alike; the first of each group stands for all.

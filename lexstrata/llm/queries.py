@@ -50,6 +50,13 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_containers(docs, "doc_id", F.col("n_tokens")).select("container_id", F.col("item_id").alias("doc_id"), "piece_no", "first_unit", "units")
 
 
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: each document's pieces and tokens, and whether one of its containers is above the capacity."""
+    got = p8_containers(spark, d)
+    over = got.groupBy("container_id").agg((F.sum("units") > packing.CAPACITY).alias("over"))
+    return got.join(over, "container_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("units").alias("n_tokens"), F.max("over").alias("overfull"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -103,5 +110,7 @@ r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM m)
 SELECT doc_id, min(k)::INT AS start_at, (max(k) - min(k) + 200)::INT AS span_len FROM r GROUP BY doc_id, run
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p8_containers, p9_found, p9_cleaned, p10_found, p10_report)}
-SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p9_found": P9_SQL, "p10_found": P10_SQL}
+P8_SQL = "SELECT doc_id, greatest(1, ceil(n_tokens / 8192))::BIGINT AS n_pieces, n_tokens::BIGINT AS n_tokens, false AS overfull FROM documents"
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p8_containers, p8_documents, p9_found, p9_cleaned, p10_found, p10_report)}
+SQL = {"p1_found": P1_SQL, "p8_documents": P8_SQL, "p3_found": P3_SQL, "p9_found": P9_SQL, "p10_found": P10_SQL}
