@@ -39,8 +39,8 @@ def presence_intervals(snapshots: DataFrame, key: Column, day: str) -> DataFrame
     days = snapshots.select(F.col(day).alias("__day")).where(F.col("__day").isNotNull()).distinct()
     days = days.select("__day", F.lead("__day").over(W.orderBy("__day")).alias("__next"))
     seen = snapshots.select(key.alias("__key"), F.col(day).alias("__day")).where(F.col("__key").isNotNull()).distinct()
-    # One row a delivery: far below a broadcast's bound even with one delivery a day for centuries; the plan decides.
-    return parent_intervals(seen.join(days, "__day"), F.col("__key"), F.col("__day"), F.col("__next"))
+    # A join by day would gather each snapshot in one task; a DATE has a bounded number of values, deliveries far fewer.
+    return parent_intervals(seen.join(F.broadcast(days), "__day"), F.col("__key"), F.col("__day"), F.col("__next"))
 
 
 def _salted(refs: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -165,7 +165,8 @@ def snapshot_changes(rows: DataFrame, all_days: DataFrame, buckets: int, known:
     order = W.orderBy("day")
     days = all_days.select("day").where(F.col("day").isNotNull()).distinct()
     days = days.select("day", F.row_number().over(order).alias("no"), F.lead("day").over(order).alias("next_day"))
-    rows = rows.select("key", "day", "value").join(days, "day")
+    # A join by day would gather each snapshot in one task; a DATE has a bounded number of values, deliveries far fewer.
+    rows = rows.select("key", "day", "value").join(F.broadcast(days), "day")
     if known is None:
         rows = rows.withColumn("ordinal", F.lit(None).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
     else:
