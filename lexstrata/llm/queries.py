@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexstrata.functions.text import digits_of
 from lexstrata.llm import contamination, longspans, normalize, packing, split
@@ -32,8 +33,8 @@ def p3_names(spark: SparkSession, d: str) -> DataFrame:
     rows = latest_rows(nodes, digits_of("code"), "snapshot_date", F.struct("row_id", "name_ko"), F.col("loaded_at"), [F.col("row_id")])
     rows = rows.select("key", "day", F.col("value.row_id").alias("row_id"), F.col("value.name_ko").alias("name"))
     days = nodes.select(F.col("snapshot_date").alias("day")).where(F.col("day").isNotNull()).distinct()
-    pairs = days.alias("a").join(days.alias("b"), F.col("a.day") < F.col("b.day")).groupBy("a.day").agg(F.min("b.day").alias("next_day"))
-    before = rows.join(pairs, "day").select("key", F.col("next_day").alias("day"), F.col("row_id").alias("id1"), F.col("name").alias("n1"))
+    pairs = days.select("day", F.lead("day").over(W.orderBy("day")).alias("next_day"))  # a DATE has a bounded number of values
+    before = rows.join(F.broadcast(pairs), "day").select("key", F.col("next_day").alias("day"), F.col("row_id").alias("id1"), F.col("name").alias("n1"))
     met = before.join(rows, ["key", "day"]).where("n1 <> name and id1 <> row_id").select("id1", F.col("row_id").alias("id2"), "n1", F.col("name").alias("n2"))
     forms = normalize.with_sql(met, {"f1": normalize.form_sql("n1"), "f2": normalize.form_sql("n2")}, ["id1", "id2"])
     return forms.where("f1 = f2").select(F.least("id1", "id2").alias("lo_id"), F.greatest("id1", "id2").alias("hi_id")).distinct()
