@@ -14,7 +14,7 @@ pass sends the text of their windows, keyed by the anchor; where several documen
 their hashes, compared character by character, and joined to stretches.
 
 No pairs are formed: a key's group is passed once. What several documents of one batch share is settled before the shuffle,
-all but one of them leave the group, so copies and boilerplate held by a third of all documents come down to a row a
+all but one of them leave the group (that one says that it is shared, whatever its own id), so copies and boilerplate held by a third of all documents come down to a row a
 batch; an anchor with more than HOT_ROWS rows and 1/HOT_SHARE of all is spread by its single windows' hashes.
 """
 
@@ -237,7 +237,8 @@ class _FirstPass:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["core", "doc", "sig", "at", "span", "weight"])
 
 
-SECOND_SCHEMA = "key long, doc long, lo int, n int, text string"
+#: shared: whether another document of the batch has the same text, so that whatever equals it is shared, also under the same id.
+SECOND_SCHEMA = "key long, doc long, lo int, n int, text string, shared boolean"
 
 
 class _SecondPass:
@@ -288,7 +289,7 @@ class _SecondPass:
         order = np.r_[keep, none, extra]
         kk = np.r_[keys[keep], keys[none], _own_keys(owner[extra], starts[extra])]
         tt = pa.concat_arrays([texts, pa.nulls(len(none) + len(extra), pa.string())])
-        return pa.RecordBatch.from_arrays([pa.array(kk), pa.array(owner[order]), pa.array(starts[order].astype(np.int32)), pa.array(count[order].astype(np.int32)), tt], ["key", "doc", "lo", "n", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(kk), pa.array(owner[order]), pa.array(starts[order].astype(np.int32)), pa.array(count[order].astype(np.int32)), tt, pa.array(known[order])], ["key", "doc", "lo", "n", "text", "shared"])
 
 
 def hash_text(text: str) -> int:
@@ -298,7 +299,7 @@ def hash_text(text: str) -> int:
 
 
 class _Meet:
-    """Sorted (key, doc, lo, n, text) to shared window ranges (doc, start, end): passes each key's group once."""
+    """Sorted (key, doc, lo, n, text, shared) to shared window ranges (doc, start, end): passes each key's group once."""
 
     def __init__(self, least: int):
         self.least = least
@@ -325,13 +326,16 @@ class _Meet:
     def _of(self, rows: pa.Table) -> pa.RecordBatch:
         key, doc, lo, n = (rows[c].to_numpy().astype(np.int64) for c in ("key", "doc", "lo", "n"))
         settled = rows["text"].is_null().to_numpy()
+        known = rows["shared"].to_numpy()
         out = [(doc[settled], lo[settled], lo[settled] + n[settled])]
         order = np.argsort(key, kind="stable")
         k, d = key[order], doc[order]
         cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[cut, len(k)])
         many = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
+        many |= np.logical_or.reduceat(known[order], cut) & (size > 1)
         open_rows = np.zeros(len(k), bool)
-        open_rows[order] = np.repeat(many, np.diff(np.r_[cut, len(k)]))
+        open_rows[order] = np.repeat(many, size)
         open_rows &= ~settled
         picked = np.flatnonzero(open_rows)
         done = 0
@@ -340,13 +344,13 @@ class _Meet:
             while upto < len(picked) and key[picked[upto]] == key[picked[upto - 1]]:
                 upto += 1
             part = picked[done:upto]
-            out.append(self._compare(key[part], doc[part], lo[part], n[part], rows["text"].take(pa.array(part)).to_pylist()))
+            out.append(self._compare(key[part], doc[part], lo[part], n[part], known[part], rows["text"].take(pa.array(part)).to_pylist()))
             done = upto
         doc, start, end = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array((end - 1 + self.least).astype(np.int32))], ["doc", "start", "end"])
 
-    def _compare(self, key, doc, lo, n, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ranges of window starts [start, end) of each row that another document's row of the key has too."""
+    def _compare(self, key, doc, lo, n, known, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ranges of window starts [start, end) of each row that another document's row of the key, or one known to be shared, has too."""
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(t) for t in texts], np.int64)
         begins = np.cumsum(lengths) - lengths
@@ -360,10 +364,14 @@ class _Meet:
         m, d = mark[order], doc[row[order]]
         cut = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
         size = np.diff(np.r_[cut, len(m)])
-        shared = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
-        # each window's counterpart: the first of its equals in another document, else the first
+        differ = np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)
+        sure = np.minimum.reduceat(np.where(known[row[order]], np.arange(total), total), cut)
+        shared = differ | (sure < total)
+        # each window's counterpart: the first of its equals known to be shared, else the first in another document, else the first
         first = order[cut]
-        other = order[cut + np.array([int(np.argmax(d[c : c + s] != d[c])) if h else 0 for c, s, h in zip(cut, size, shared, strict=True)])] if len(cut) else first
+        other = order[cut + np.array([int(np.argmax(d[c : c + s] != d[c])) if h else 0 for c, s, h in zip(cut, size, differ, strict=True)])] if len(cut) else first
+        certain = order[np.minimum(sure, total - 1)]
+        first, other = np.where(sure < total, certain, first), np.where(sure < total, certain, other)
         same = np.zeros(total, bool)
         peer = np.zeros(total, np.int64)
         flat_first, flat_other = np.repeat(first, size), np.repeat(other, size)
@@ -381,17 +389,17 @@ class _Meet:
         a, b = at[at_same[heads]], at[at_same[tails]] + self.least
         equal = np.array([np.array_equal(points[x:y], points[x + s : y + s]) for x, y, s in zip(a, b, shift[heads], strict=True)])
         if not equal.all():  # two texts of one hash: settle this part by the texts themselves
-            return self._by_text(key, doc, lo, n, texts)
+            return self._by_text(key, doc, lo, n, known, texts)
         r = row[at_same[heads]]
         return doc[r], lo[r] + within[at_same[heads]], lo[r] + within[at_same[tails]] + 1
 
-    def _by_text(self, key, doc, lo, n, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _by_text(self, key, doc, lo, n, known, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         seen: dict[tuple[int, str], tuple[int, bool]] = {}
-        windows = [((int(k), t[i : i + self.least]), int(d), int(a) + i) for k, d, a, c, t in zip(key, doc, lo, n, texts, strict=True) for i in range(c)]
-        for w, d, _ in windows:
+        windows = [((int(k), t[i : i + self.least]), int(d), int(a) + i, bool(h)) for k, d, a, c, h, t in zip(key, doc, lo, n, known, texts, strict=True) for i in range(c)]
+        for w, d, _, h in windows:
             one, more = seen.get(w, (d, False))
-            seen[w] = one, more or one != d
-        hits = [(d, s) for w, d, s in windows if seen[w][1]]
+            seen[w] = one, more or h or one != d
+        hits = [(d, s) for w, d, s, _ in windows if seen[w][1]]
         d, s = (np.array(c, np.int64) for c in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 2
         return d, s, s + 1
 
@@ -428,8 +436,9 @@ def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: Column | str
     # Rows that another one stands for go anywhere; so a key's group has at most one row a batch that several documents of it share.
     route = F.when(F.col("weight") == 0, F.xxhash64("core", "doc", "at")).otherwise(F.col("core"))
     by_key = W.partitionBy("key")
-    met = anchors.withColumn("key", route).withColumn("a", F.min("doc").over(by_key)).withColumn("b", F.max("doc").over(by_key)).withColumn("rows", F.sum(F.abs("weight")).over(by_key))
-    met = met.where("weight <= 0 or a < b")
+    met = anchors.withColumn("key", route).withColumn("a", F.min("doc").over(by_key)).withColumn("b", F.max("doc").over(by_key)).withColumn("rows", F.sum(F.abs("weight")).over(by_key)).withColumn("least_weight", F.min("weight").over(by_key))
+    # A row of negative weight stands for several documents, so whatever shares its key is shared, also under its own id.
+    met = met.where("least_weight <= 0 or a < b")
     shared = met.groupBy("doc", "sig").agg(F.collect_set(F.struct("core", "at", "span", F.col("rows").cast("int").alias("rows"))).alias("anchors"))
     shared = cut_lineage(shared)  # read three times: for the hot keys, the filter and the join
     some = _maybe_in(picked, shared.select("doc"), FILTER_BITS)

@@ -82,6 +82,38 @@ def test_settling_inside_one_batch(spark):
     assert found(spark, docs, parts=1) == brute(docs)
 
 
+def merged(docs):
+    """brute's stretches joined by id, as the places of an id's texts are."""
+    out = set()
+    each = brute(docs)
+    for d in {d for d, _, _ in each}:
+        reach, begin = 0, None
+        for s, n in sorted((s, n) for k, s, n in each if k == d):
+            if begin is not None and s > reach:
+                out.add((d, begin, reach - begin))
+                begin = None
+            begin, reach = s if begin is None else begin, max(reach, s + n)
+        out.add((d, begin, reach - begin))
+    return out
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 10_000])
+def test_an_id_with_several_texts(spark, batch):
+    """Whether what another document shares is met in one batch or in several must not change what an id's further texts share."""
+    rnd = random.Random(11)
+    word = lambda k: "".join(rnd.choice("가나다라마바사 abcde.\n1") for _ in range(k))
+    docs = []
+    for i in range(0, 40, 2):
+        p = word(300)
+        docs += [(i, p), (i + 1, p), (i, word(900) + p[:260] + word(50)), (i, word(2000) + p[40:])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = found(spark, docs, parts=1), found(spark, docs, parts=5)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == merged(docs)
+
+
 def test_longer_spans(spark, monkeypatch):
     docs = corpus(6)
     monkeypatch.setitem(globals(), "LEAST", 300)
