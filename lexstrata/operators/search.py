@@ -2,12 +2,16 @@
 
 Each arm returns its own scores; nothing is fused. Postings are a table (doc_id, token_id, weight) to be written once and
 joined per query; a query is a handful of literal rows, whose size is known, and the only thing broadcast.
+
+Tables of queries go in blocks of bounded size, each broadcast in turn: rows stream past a block, every task keeps the best
+of each of its queries, and only those are shuffled, so hot tokens and many queries make work but no skew.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from hashlib import md5
 
 import numpy as np
@@ -16,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from lexstrata.functions import lexical
 from lexstrata.functions.temporal import in_force
@@ -26,6 +31,9 @@ from lexstrata.session import cut_lineage
 ARMS = ("dense", "bm25")
 RECALL = 3
 API_LIMIT = 20
+BLOCK_QUERIES = 2_000
+BLOCK_VALUES = 1_000_000  # tokens or vector components of a block's queries
+PART_ROWS = 256
 
 
 class _Postings:
@@ -112,6 +120,195 @@ def dense_search(vectors: DataFrame, vec_id: str, embedding: str, query: list[fl
     return scored.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
+class _Best:
+    """The best `limit` rows of each query of a block, by score to nine digits, then id; -inf is no hit."""
+
+    def __init__(self, queries: np.ndarray, limit: int):
+        self.queries, self.limit = queries, limit
+        self.least = np.full(len(queries), -np.inf)
+        self.at, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, docs: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row a document, a column a query."""
+        place = np.round(scores, 9)
+        if len(docs) >= self.limit:
+            self.least = np.maximum(self.least, np.partition(place, -self.limit, axis=0)[-self.limit])
+        row, at = np.nonzero((place >= self.least) & (place > -np.inf))
+        at, doc, score = np.r_[self.at, at], np.r_[self.doc, docs[row]], np.r_[self.score, scores[row, at]]
+        order = np.lexsort((doc, -np.round(score, 9), at))
+        at, doc, score = at[order], doc[order], score[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = rank < self.limit
+        full = rank == self.limit - 1
+        self.least[at[full]] = np.round(score[full], 9)
+        self.at, self.doc, self.score = at[kept], doc[kept], score[kept]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.queries[self.at]), pa.array(self.doc), pa.array(self.score)], ["query_id", "doc_id", "score"])
+
+
+BEST_SCHEMA = "query_id long, doc_id long, score double"
+
+
+def _unit(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their vectors in double precision, of unit length) of those that have `size` components, none null, not all zero."""
+    flat = column.flatten()
+    lengths = np.array(column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False))
+    holes = np.r_[0, np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))]
+    ends = np.cumsum(np.maximum(lengths, 0))
+    rows = np.flatnonzero((lengths == size) & (holes[ends] == holes[ends - np.maximum(lengths, 0)]))
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    made = values[(ends[rows] - size)[:, None] + np.arange(size)]
+    norm = np.sqrt((made * made).sum(axis=1))
+    some = norm > 0
+    return rows[some], made[some] / norm[some, None]
+
+
+class _DenseBlock:
+    """Arrow batches (doc_id, embedding) against a broadcast block of queries, {size: (ids, unit vectors)}, to the best of each."""
+
+    def __init__(self, block, limit: int):
+        self.block, self.limit = block, limit
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {size: _Best(ids, self.limit) for size, (ids, _) in self.block.value.items()}
+        for batch in batches:
+            for start in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(start, PART_ROWS)
+                for size, (_, asked) in self.block.value.items():
+                    rows, vectors = _unit(part.column(1), size)
+                    if len(rows):
+                        best[size].add(part.column(0).to_numpy()[rows], vectors @ asked.T)
+        for b in best.values():
+            yield b.batch()
+
+
+class _KeywordBlock:
+    """Arrow batches (doc_id, text) against a broadcast block of queries to the best of each; (ids, number of a token, where a token's queries begin, queries, idf of each token)."""
+
+    def __init__(self, block, limit: int):
+        self.block, self.limit = block, limit
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, number, begins, queries, idf = self.block.value
+        best = _Best(ids, self.limit)
+        # tokens of more than an eighth of the queries, hence at most 8 * BLOCK_VALUES cells, go by matrix product
+        often = np.flatnonzero(np.diff(begins) > len(ids) / 8)
+        column = np.full(len(idf), -1)
+        column[often] = np.arange(len(often))
+        held = np.zeros((len(often), len(ids)))
+        for k, token in enumerate(often):
+            held[k, queries[begins[token] : begins[token + 1]]] = idf[token]
+        for batch in batches:
+            for start in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(start, PART_ROWS)
+                scores, weights = np.zeros((part.num_rows, len(ids))), np.zeros((part.num_rows, len(often)))
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    counts, length = lexical.token_counts(text)
+                    known = [(number[t], n) for t, n in counts.items() if t in number]
+                    if not known:
+                        continue
+                    token, tf = np.array(known, np.int64).T
+                    weight, spot = lexical.tf_weight(tf, length), column[token]
+                    weights[row, spot[spot >= 0]] = weight[spot >= 0]
+                    token, weight = token[spot < 0], weight[spot < 0] * idf[token[spot < 0]]
+                    size = begins[token + 1] - begins[token]
+                    spot = np.arange(size.sum()) + np.repeat(begins[token] - np.cumsum(size) + size, size)
+                    scores[row] = np.bincount(queries[spot], np.repeat(weight, size), len(ids))
+                scores += weights @ held
+                scores[scores == 0] = -np.inf  # every token's share is above 0
+                best.add(part.column(0).to_numpy(), scores)
+        yield best.batch()
+
+
+class _Frequencies:
+    """Arrow batches (doc_id, text) to (token, df), counted within the task, handing on at BLOCK_VALUES tokens."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                seen.update(lexical.token_counts(text)[0].keys())
+                if len(seen) > BLOCK_VALUES:
+                    yield self._out(seen)
+                    seen = Counter()
+        if seen:
+            yield self._out(seen)
+
+    def _out(self, seen: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "df"])
+
+
+def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, text) to (query_id, token), distinct."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PART_ROWS):
+            part = batch.slice(start, PART_ROWS)
+            terms = [lexical.query_terms(t) for t in part.column(1).to_pylist()]
+            ids = np.repeat(part.column(0).to_numpy(), [len(t) for t in terms])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x for t in terms for x in t], pa.string())], ["query_id", "token"])
+
+
+def _blocks(queries: DataFrame, values: Column) -> Iterator[pa.Table]:
+    """A table of queries, written once, in blocks of about BLOCK_QUERIES rows and BLOCK_VALUES values at most; one at a time comes to the driver."""
+    queries = cut_lineage(queries)
+    n, total = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(values.cast("long")), F.lit(0))).first()
+    blocks = max(-(-n // BLOCK_QUERIES), -(-total // BLOCK_VALUES))
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        if block.num_rows:
+            yield block
+
+
+def _best_of(parts: list[DataFrame], spark, limit: int) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], BEST_SCHEMA)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+
+
+def dense_search_all(vectors: DataFrame, vec_id: str, embedding: str, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, doc_id, score): the exact cosine top-k of every row of queries (query_id, embedding) over all vectors; ties (to nine digits) by id.
+
+    Null and zero vectors and those with null components have no score, nor have pairs of different length; ids are whole numbers, null ids are left out.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("doc_id"), F.col(embedding).alias("embedding"))
+    asked = queries.where("query_id is not null and embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    parts = []
+    for block in _blocks(asked, F.size("embedding")):
+        column, ids = block["embedding"].combine_chunks(), block["query_id"].to_numpy()
+        found = {n: _unit(column, n) for n in set(column.value_lengths().to_pylist()) if n}
+        sent = spark.sparkContext.broadcast({n: (ids[r], v) for n, (r, v) in found.items() if len(r)})
+        parts.append(rows.mapInArrow(_DenseBlock(sent, limit), BEST_SCHEMA))
+    return _best_of(parts, spark, limit)
+
+
+def bm25_search_all(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, doc_id, score): the best documents for every row of queries (query_id, text); ties (to nine digits) by id.
+
+    Tokens are told apart by themselves, not by their ids. Ids are whole numbers, those of documents assumed distinct, null ids left out.
+    """
+    spark = docs.sparkSession
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("text").cast("string").alias("text"))
+    df = rows.mapInArrow(_Frequencies(), "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
+    terms = asked.mapInArrow(_query_terms, "query_id long, token string").distinct().join(df, "token")
+    terms = terms.select("query_id", "token", lexical.idf(F.lit(rows.count()), F.col("df")).alias("idf"))
+    parts = []
+    for block in _blocks(terms.groupBy("query_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("idf").alias("idfs")), F.size("tokens")):
+        tokens, idfs = block["tokens"].combine_chunks(), block["idfs"].combine_chunks()
+        coded = tokens.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        order = np.argsort(code, kind="stable")
+        begins = np.r_[0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))]
+        query = np.repeat(np.arange(block.num_rows), tokens.value_lengths().to_numpy())
+        number = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
+        sent = spark.sparkContext.broadcast((block["query_id"].to_numpy(), number, begins, query[order], idfs.flatten().to_numpy()[order][begins[:-1]]))
+        parts.append(rows.mapInArrow(_KeywordBlock(sent, limit), BEST_SCHEMA))
+    return _best_of(parts, spark, limit)
+
+
 def encoder(model: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> Callable:
     """A column function text -> ARRAY<FLOAT> from a model loader: loaded once a Python worker, called with batches of texts."""
 

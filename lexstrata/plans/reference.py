@@ -350,6 +350,39 @@ def two_arms(spark: SparkSession, d: str) -> DataFrame:
     return both.select("doc_id", F.round("score", 4).alias("score"), "arm")
 
 
+# Every row whose id is divisible by 100 is a query, against all rows.
+_DENSE_ALL = """dn AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 20)"""
+_BM25_ALL = f"""{POSTED}, q AS (SELECT DISTINCT doc_id AS query_id, token FROM posted WHERE doc_id % 100 = 0), dfs AS (SELECT token, count(*) AS df FROM posted GROUP BY token),
+hits AS (SELECT query_id, doc_id, sum({WEIGHT} * ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1)) AS score FROM posted JOIN q USING (token) JOIN dfs USING (token) GROUP BY query_id, doc_id),
+bm AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 20)"""
+
+
+def dense_hits_all(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return search.dense_search_all(vectors, "vec_id", "embedding", vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 20)
+
+
+def bm25_hits_all(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return search.bm25_search_all(docs, "doc_id", "text", docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"), 20)
+
+
+@query(f"WITH {_DENSE_ALL} SELECT query_id, doc_id, round(score, 6) AS score FROM dn")
+def dense_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return dense_hits_all(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25_ALL} SELECT query_id, doc_id, round(score, 6) AS score FROM bm")
+def bm25_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    return bm25_hits_all(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_BM25_ALL}, {_DENSE_ALL} SELECT query_id, doc_id, round(score, 4) AS score, 'bm25' AS arm FROM bm UNION ALL SELECT query_id, doc_id, round(score, 4), 'dense' FROM dn")
+def two_arms_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.two_arms(dense_hits_all(spark, d), bm25_hits_all(spark, d)).select("query_id", "doc_id", F.round("score", 4).alias("score"), "arm")
+
+
 _ONE = f"one AS (SELECT * FROM ({LIVE}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1)"
 _CUR = f"""{_ONE}, cur AS (SELECT * FROM one WHERE is_current), tok AS (SELECT id AS doc_id, {TOKENS.format(c="content")} AS toks FROM cur),
 q AS (SELECT DISTINCT unnest({TOKENS.format(c=f"'{QUERY}'")}) AS token),

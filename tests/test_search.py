@@ -1,9 +1,13 @@
 import datetime as dt
+import math
+import random
+from collections import Counter
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from lexstrata.functions import lexical
 from lexstrata.operators import search
 
 SCHEMA = "id long, law_id string, article_no int, paragraph_no int, content string, valid_from date, valid_to date, is_current boolean"
@@ -47,6 +51,49 @@ def test_dense_arm(spark, articles):
     assert rows(search.api_hits(got, 1), "score", "head") == [(1.0, "수입물품의 통관")]
 
 
+def best(pairs, limit):
+    """(query, doc, score) of the first `limit` of each query."""
+    out = []
+    for q in {q for q, _, _ in pairs}:
+        out += sorted((p for p in pairs if p[0] == q), key=lambda p: (-round(p[2], 9), p[1]))[:limit]
+    return sorted((q, d, round(s, 6)) for q, d, s in out)
+
+
+def got(df):
+    return sorted((r.query_id, r.doc_id, round(r.score, 6)) for r in df.collect())
+
+
+@pytest.mark.parametrize("block", [2, 2_000])
+def test_tables_of_queries(spark, monkeypatch, block):
+    """Every query is answered, over all rows, however queries are cut into blocks; one query's answer is that of the single search."""
+    monkeypatch.setattr(search, "BLOCK_QUERIES", block)
+    rnd = random.Random(4)
+    texts = [(i, " ".join(rnd.choices(["통관", "수입물품", "관세", "신고", "abc", "세율표", "12"], k=rnd.randrange(0, 9)))) for i in range(0, 900, 3)] + [(901, None), (1000, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    by_words = got(search.bm25_search_all(docs, "doc_id", "text", asked, 7))
+    counted = {i: lexical.token_counts(t) for i, t in texts}
+    df = Counter(t for c, _ in counted.values() for t in c)
+    weight = lambda n, size: n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / 256))
+    idf = lambda t: math.log((len(texts) - df[t] + 0.5) / (df[t] + 0.5) + 1)
+    pairs = [(q, d, sum(weight(c[t], size) * idf(t) for t in counted[q][0] if t in c)) for q in counted if q % 100 == 0 for d, (c, size) in counted.items() if counted[q][0].keys() & c.keys()]
+    assert by_words == best(pairs, 7) and len({q for q, _, _ in by_words}) > 1
+    one = by_words[0][0]
+    alone = search.bm25_scan(docs, "doc_id", "text", dict(texts)[one], 1000).collect()
+    assert {x[1:] for x in by_words if x[0] == one} <= {(r.doc_id, round(r.score, 6)) for r in alone}
+
+    data = [(i, [rnd.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(400)] + [(500, None), (600, [0.0, 0.0, 0.0]), (700, [1.0, None, 1.0]), (800, [1.0, 2.0]), (801, [2.0, 1.0])]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    fit = {i: v for i, v in data if v and None not in v and any(v)}
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    pairs = [(q, d, sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b)) for q, a in fit.items() if q % 100 == 0 for d, b in fit.items() if len(a) == len(b)]
+    assert got(search.dense_search_all(vectors, "vec_id", "embedding", asked, 7)) == best(pairs, 7)
+    nothing = asked.limit(0)
+    assert search.dense_search_all(vectors, "vec_id", "embedding", nothing, 7).count() == 0
+    assert search.bm25_search_all(docs, "doc_id", "text", docs.limit(0).select(F.col("doc_id").alias("query_id"), "text"), 7).count() == 0
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([("관세 통관",), ("",), (None,)], "t string")
     got = [r.embedding for r in search.hashed_encoder(df, "t").collect()]
