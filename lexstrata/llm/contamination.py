@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -134,6 +135,17 @@ class ItemAutomaton:
         return [(a, b) for a, b in out], shown
 
 
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and adjoining [start, end) joined, as one automaton of all items gives them."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 _CLUSTER = re.compile(r"[\s\S](?:[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯ᅠ-ᇿ゙゚­​-‏⁠-⁤﻿]+)?")
 
 
@@ -146,25 +158,33 @@ def original_places(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def without_spans(text: str, folded: str, spans: list[tuple[int, int]], max_coverage: float) -> tuple[str | None, list[tuple[int, int]]]:
-    """The text without the spans (given in its folded form) and the places cut out; None if they cover more than max_coverage of it, or if its places can't be told."""
+def without_spans(text: str, folded_chars: int, spans: list[tuple[int, int]], max_coverage: float) -> tuple[str | None, list[tuple[int, int]] | None, str]:
+    """The text without the spans (given in its folded form), the places cut out, and the outcome: 'cut'; 'covered' (no text) if they cover more than max_coverage of it; 'unplaced' (neither) if its places can't be told."""
+    if sum(b - a for a, b in spans) > max_coverage * folded_chars:
+        return None, [(0, len(text))], "covered"
     places = original_places(text)
-    if sum(b - a for a, b in spans) > max_coverage * len(folded) or len(places) != len(folded):
-        return None, [(0, len(text))]
+    if len(places) != folded_chars:
+        return None, None, "unplaced"
     cut = [(places[a][0], places[b - 1][1]) for a, b in spans]
     kept, last = [], 0
     for a, b in cut:
         kept.append(text[last:a])
         last = max(last, b)
     kept.append(text[last:])
-    return "".join(kept), cut
+    return "".join(kept), cut, "cut"
+
+
+_PLACES = pa.list_(pa.struct([("start_at", pa.int32()), ("end_at", pa.int32())]))
+_PLACES_SQL = "array<struct<start_at int, end_at int>>"
+FOUND_SCHEMA = f"id long, text string, chars int, items array<long>, spans {_PLACES_SQL}"
+CLEANED_SCHEMA = f"doc_id long, items array<long>, cut {_PLACES_SQL}, cleaned string, outcome string"
 
 
 class _Stream:
-    """Arrow batches (id, text) of documents against one broadcast automaton."""
+    """Arrow batches (id, text) of documents against one broadcast automaton; clean: with the text, the length of its folded form and the spans there."""
 
-    def __init__(self, automaton, clean: bool, max_coverage: float):
-        self.automaton, self.clean, self.max_coverage = automaton, clean, max_coverage
+    def __init__(self, automaton, clean: bool):
+        self.automaton, self.clean = automaton, clean
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = self.automaton.value
@@ -176,21 +196,36 @@ class _Stream:
                 spans, items = automaton.spans(text)
                 if items:
                     if self.clean:
-                        whole = rows["text"][k].as_py()
-                        cleaned, cut = without_spans(whole, text, spans, self.max_coverage)
-                        out.append((ids[k], sorted(items), [{"start_at": a + 1, "end_at": b} for a, b in cut], cleaned))
+                        out.append((ids[k], rows["text"][k].as_py(), len(text), sorted(items), [{"start_at": a + 1, "end_at": b} for a, b in spans]))
                     else:
                         out += [(ids[k], x) for x in sorted(items)]
             if out:
                 columns = list(zip(*out, strict=True))
                 if self.clean:
-                    span = pa.list_(pa.struct([("start_at", pa.int32()), ("end_at", pa.int32())]))
-                    kinds = [pa.int64(), pa.list_(pa.int64()), span, pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "items", "cut", "cleaned"])
+                    kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), _PLACES]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "text", "chars", "items", "spans"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id"])
 
 
+class _Cut:
+    """What was found in whole documents to what to do about them."""
+
+    def __init__(self, max_coverage: float):
+        self.max_coverage = max_coverage
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.list_(pa.int64()), _PLACES, pa.string(), pa.string()]
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                spans = merged_spans([(x["start_at"] - 1, x["end_at"]) for x in r["spans"]])
+                cleaned, cut, outcome = without_spans(r["text"], r["chars"], spans, self.max_coverage)
+                out.append((r["id"], sorted(set(r["items"])), cut and [{"start_at": a + 1, "end_at": b} for a, b in cut], cleaned, outcome))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "items", "cut", "cleaned", "outcome"])
+
+
 def item_blocks(items: DataFrame, item_id: str, text: str, limit: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Folded items in blocks of about block_chars characters (a single longer item is a block of its own)."""
     picked = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("t")).distinct()
@@ -211,13 +246,13 @@ def item_blocks(items: DataFrame, item_id: str, text: str, limit: int, block_cha
         yield [(x["id"], x["folded"]) for x in block.orderBy("id", "folded").collect()]
 
 
-def _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, clean, max_coverage, schema) -> list[DataFrame]:
+def _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, clean, schema) -> list[DataFrame]:
     spark = docs.sparkSession
     picked = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     out = []
     for block in item_blocks(items, item_id, item_text, limit, block_chars):
         automaton = spark.sparkContext.broadcast(ItemAutomaton(block, limit))
-        out.append(picked.mapInArrow(_Stream(automaton, clean, max_coverage), schema))
+        out.append(picked.mapInArrow(_Stream(automaton, clean), schema))
     return out or [spark.createDataFrame([], schema)]
 
 
@@ -227,23 +262,26 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     Null ids and null texts are left out; items shorter than the limit can't leak; an empty table gives no rows.
     Documents are streamed once per block of items, whole, and nothing of them is shuffled but the result.
     """
-    parts = _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, False, 1.0, "doc_id long, item_id long")
+    parts = _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, False, "doc_id long, item_id long")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
 
 
-def leaking_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = MIN_RUN, max_coverage: float = 0.5) -> DataFrame:
-    """Leaking documents with what to do about them: (doc_id, items, cut, cleaned).
+def leaking_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = MIN_RUN, max_coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Leaking documents with what to do about them: (doc_id, items, cut, cleaned, outcome), a row for each that leaks, whatever the number of automata.
 
     cut: the stretches (from 1, both included) of the text as stored that hold matched runs; cleaned: the text without
-    them, null where they cover more than max_coverage of its letters and digits, i.e. the document should go. For items
-    that fit one automaton; with more, one row for each automaton that found something.
+    them. outcome: 'cut'; 'covered' where they cover more than max_coverage of its letters and digits, i.e. the document should
+    go (cleaned null, cut the whole text); 'unplaced' where the places in the text as stored can't be told (both null).
+    With several automata the leaking documents, and only these, are shuffled with what each automaton found.
     """
-    schema = "doc_id long, items array<long>, cut array<struct<start_at int, end_at int>>, cleaned string"
-    parts = _streamed(docs, doc_id, text, items, item_id, item_text, limit, BLOCK_CHARS, True, max_coverage, schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, True, FOUND_SCHEMA)
+    found = parts[0]
+    if len(parts) > 1:
+        found = reduce(DataFrame.unionByName, [p.withColumn("block", F.lit(k)) for k, p in enumerate(parts)])
+        found = found.groupBy("id", "text", "chars").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.count(F.lit(1)).alias("n"), F.size(F.collect_set("block")).alias("blocks"))
+        # a document that stands repeated stays so
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / F.col("blocks")).cast("int")))).select("id", "text", "chars", "items", "spans")
+    return found.mapInArrow(_Cut(max_coverage), CLEANED_SCHEMA)

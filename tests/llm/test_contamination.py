@@ -81,3 +81,28 @@ def test_cleaned(spark):
     (cut,) = got[1]["cut"]
     assert (before + spaced + after)[cut.start_at - 1 : cut.end_at] == " ".join(item[10:80])
     assert got[2].cleaned is None and got[2]["items"] == [7]
+
+
+def test_cleaned_alike_whatever_the_blocks(spark):
+    """A document that leaks items of several automata gets one row (a repeated one as many as it stands), all spans cut and their sum tested."""
+    rnd = random.Random(5)
+    items = [(i, text(rnd, 100)) for i in range(8)]
+    own = [text(rnd, 150) for _ in range(4)]
+    both = own[0] + items[0][1] + own[1] + items[5][1] + own[2]
+    docs = [(1, both), (2, own[0] + items[1][1] + items[2][1][:90] + own[1]), (3, both), (3, both), (4, own[3])]
+    docs += [(5, text(rnd, 160) + "".join(t[:80] for _, t in items[:3])), (6, items[6][1] + own[3]), (7, own[3] + "".join(t for _, t in items))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (rows(contamination.leaking_documents(d, i, block_chars=n)) for n in (contamination.BLOCK_CHARS, 150))
+    assert one == many
+    got = {r[0]: r for r in many}
+    assert [r[0] for r in many] == [1, 2, 3, 3, 5, 6, 7]
+    assert got[1][1] == [0, 5] and got[1][3] == "".join(own[:3]) and got[1][4] == "cut"
+    assert got[5][3] is None and got[5][4] == "covered"  # 240 of 400, at most 80 of one item
+
+
+def test_unplaced():
+    """A document whose places can't be told isn't taken for one that is covered."""
+    spans = [(0, 50)]
+    assert contamination.without_spans("a" * 200, 200, spans, 0.5)[2] == "cut"
+    assert contamination.without_spans("a" * 200, 199, spans, 0.5) == (None, None, "unplaced")
+    assert contamination.without_spans("a" * 200, 200, [(0, 150)], 0.5)[2] == "covered"
