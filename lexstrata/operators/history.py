@@ -37,17 +37,20 @@ def hash_diff(attributes: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def satellite(versions: DataFrame, keys: list[str], start: str, end: str | None, watched: list[str], carried: list[str] = ()) -> DataFrame:
+def satellite(versions: DataFrame, keys: list[str], start: str, end: str | None, watched: list[str], carried: list[str] = (), empty_ends: bool = False) -> DataFrame:
     """Insert-only rows (keys, start, hash_diff, watched, carried) of one satellite.
 
     versions: one row a key and start. end: the column of the version's own end (exclusive; null: open; at or before
     the start: the version never held and is left out). carried: columns taken from the first row of a run.
+    empty_ends: whether a version that never held ends the one before it all the same.
     """
     by_key = W.partitionBy(*keys).orderBy(start)
-    own = versions.where(F.col(end).isNull() | (F.col(end) > F.col(start))) if end else versions
     nxt = F.lead(start).over(by_key)
-    stop = F.col(end) if end else F.lit(None).cast("date")
-    own = own.withColumn("__stop", stop).withColumn("__next", nxt).withColumn("hash_diff", hash_diff(watched))
+    own = versions.withColumn("__stop", F.col(end) if end else F.lit(None).cast("date"))
+    if end:
+        own = own.withColumn("__stop", F.least("__stop", nxt)) if empty_ends else own
+        own = own.where(F.col(end).isNull() | (F.col(end) > F.col(start)))
+    own = own.withColumn("__next", nxt).withColumn("hash_diff", hash_diff(watched))
     gap = F.col("__stop").isNotNull() & (F.col("__next").isNull() | (F.col("__stop") < F.col("__next")))
     blank = F.struct(F.col("__stop").alias("at"), F.lit(CLOSED).cast("string").alias("hash_diff"), *[F.lit(None).cast(versions.schema[c].dataType).alias(c) for c in [*watched, *carried]])
     real = F.struct(F.col(start).alias("at"), F.col("hash_diff"), *[F.col(c) for c in [*watched, *carried]])

@@ -124,7 +124,7 @@ def live_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    text = history.satellite(live_versions(spark, d), ARTICLE_KEY, "valid_from", "valid_to", ["content_hash"], ["version_mst"])
+    text = history.satellite(live_versions(spark, d), ARTICLE_KEY, "valid_from", "valid_to", ["content_hash"], ["version_mst"], empty_ends=True)
     view = history.periods(text, ARTICLE_KEY, "valid_from", "valid_to")
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
     return view.select(*ARTICLE_KEY, "version_mst", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"))
@@ -132,7 +132,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_titles(spark: SparkSession, d: str) -> DataFrame:
     """The slowly changing satellite: the periods of each article's title."""
-    sat = history.satellite(live_versions(spark, d), ARTICLE_KEY, "valid_from", "valid_to", ["title"])
+    sat = history.satellite(live_versions(spark, d), ARTICLE_KEY, "valid_from", "valid_to", ["title"], empty_ends=True)
     return history.periods(sat, ARTICLE_KEY, "valid_from", "valid_to").select(*ARTICLE_KEY, "title", "valid_from", "valid_to")
 
 

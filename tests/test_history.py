@@ -90,3 +90,15 @@ def test_current_on_a_day(spark):
     view = history.periods(sat, ["k"], "start", "stop")
     hits = [view.where(history.holds_on("start", "stop", F.lit(day(n)).cast("date"))).count() for n in (-1, 0, 4, 5)]
     assert hits == [0, 1, 1, 0]
+
+
+def test_a_counting_row_that_never_held_ends_the_one_before(spark, tmp_path):
+    """A period runs to the next counting row's start, also if that row's own period is empty; what follows doesn't touch it."""
+    from lexstrata.plans import problems
+
+    data = [(1, 100, 1, dt.date(2020, 1, 1), None, "h"), (2, 100, 2, dt.date(2021, 1, 1), dt.date(2021, 1, 1), "x"), (3, 100, 3, dt.date(2022, 1, 1), None, "h"), (4, 200, 1, dt.date(2020, 1, 1), None, "h"), (5, 200, 2, dt.date(2021, 1, 1), dt.date(2020, 6, 1), "x")]
+    df = spark.createDataFrame([("L", *r) for r in data], "law_id string, id long, article_no int, no int, valid_from date, valid_to date, content_hash string")
+    cols = ["*", F.lit(None).cast("int").alias("paragraph_no"), F.lit(None).cast("timestamp").alias("deleted_at"), F.timestamp_seconds("no").alias("loaded_at"), F.concat(F.lit("m"), "no").alias("version_mst"), F.lit("t").alias("title")]
+    df.select(*cols).write.parquet(f"{tmp_path}/law_articles.parquet")
+    got = rows(problems.p5_found(spark, str(tmp_path)), "article_no", "version_mst", "valid_from", "valid_to")
+    assert got == [(100, "m1", "2020-01-01", "2021-01-01"), (100, "m3", "2022-01-01", ""), (200, "m1", "2020-01-01", "2021-01-01")]
