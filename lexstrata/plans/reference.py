@@ -430,6 +430,16 @@ def expand_one_hop(spark: SparkSession, d: str) -> DataFrame:
     return refgraph.expand(nodes.where("law_id = '900001'"), edges, nodes)
 
 
+_HOPS = "SELECT src AS article_pk, rel, dst, law_name, article_no, coalesce(title, law_name) AS title, basis, n FROM gedges JOIN art ON art.id = dst JOIN ln USING (law_id)"
+
+
+@query(f"WITH {CITED}, ln AS (SELECT law_id, min(law_name) AS law_name FROM laws GROUP BY law_id) {_HOPS}")
+def expand_one_hop_all(spark: SparkSession, d: str) -> DataFrame:
+    """One hop from every article, of whatever law."""
+    nodes, _, edges = views.citation_graph(spark, d)
+    return refgraph.expand(nodes, edges, nodes)
+
+
 # --- catalogue and requirements
 
 

@@ -58,3 +58,17 @@ def test_edges_and_expansion(spark, families):
     assert rows(edges, "src", "dst", "rel", "n") == [(1, 2, "CITES", 1), (1, 3, "DELEGATES", 1), (2, 3, "DELEGATES", 2), (3, 4, "DELEGATES", 1)]
     assert rows(refgraph.expand(spark.createDataFrame([(2,), (99,)], "article_pk long"), edges, nodes), "rel", "dst", "title") == [("DELEGATES", 3, "t")]
     assert {r.n_bad for r in checks.graph_checks(edges, nodes, families).collect()} == {0}
+
+
+def test_a_hop_from_every_article(spark):
+    """The hop isn't run from one law's articles only: it follows every edge of the graph."""
+    import os
+
+    from conftest import DATA
+
+    import __spark_entry__ as entry
+
+    if not os.path.isdir(DATA):
+        return
+    hops = rows(entry.queries()["expand_one_hop_all"](spark, DATA), "article_pk", "rel", "dst")
+    assert hops == rows(entry.queries()["citation_edges"](spark, DATA), "src", "rel", "dst") != []
