@@ -26,13 +26,11 @@ def body_meta(bodies: DataFrame, body_id: str = "body_id", body: str = "body") -
     schema = pa.schema([("body_id", pa.int64()), *[(n, pa.string()) for n in ("law_id", "law_name", "enforcement_text", "promulgation_text", "revision_type", "ministry")]])
 
     def read(batches):
-        import json
-
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    root = json.loads(text or "", object_pairs_hook=variants.leave_object)
+                    root = variants.load_body(text or "")
                 except ValueError:
                     continue
                 law = root.fields.get("법령") if isinstance(root, variants.Shape) else None

@@ -12,6 +12,7 @@ its state belongs) and its texts. typed_tables() routes the rows to one table pe
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -38,6 +39,8 @@ BRANCH = "조문가지번호"
 # The short place names of the four levels in the results.
 PLACES = ("jo_pos", "hang_pos", "ho_pos", "mok_pos")
 
+STATE_CHARS = 4096  # longer states are known by their hash, so that depth doesn't square memory
+
 _SPACE = re.compile(r"\s+")
 
 
@@ -49,10 +52,16 @@ def plain_text(value) -> str | None:
     """Text of a scalar, a list (joined by line ends, at any depth) or an object's 'content'; entities resolved, outer white space cut; null for nothing."""
     if value is None:
         return None
-    if isinstance(value, Shape):
-        return plain_text(value.fields.get("content"))
-    if isinstance(value, list):
-        lines = [t for t in map(plain_text, value) if t]
+    if isinstance(value, (Shape, list)):
+        lines, stack = [], [value]
+        while stack:  # depth isn't bounded
+            v = stack.pop()
+            if isinstance(v, Shape):
+                stack.append(v.fields.get("content"))
+            elif isinstance(v, list):
+                stack.extend(reversed(v))
+            elif t := plain_text(v):
+                lines.append(t)
         return "\n".join(lines) or None
     text = html.unescape(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)).replace(" ", " ")
     return re.sub(r"[ \t]+\n", "\n", text).strip() or None
@@ -72,16 +81,101 @@ def state_of(value) -> str:
     if value is None or value == "" or value == []:
         return "-"
     if isinstance(value, list):
-        kinds = sorted({state_of(x) for x in value} - {"-"})
-        return "T" if kinds == ["t"] else "[" + "|".join(kinds) + "]"
+        open_lists: list[tuple[Iterator, set[str]]] = [(iter(value), set())]
+        while True:  # depth isn't bounded
+            rest, kinds = open_lists[-1]
+            for x in rest:
+                if isinstance(x, list) and x:
+                    open_lists.append((iter(x), set()))
+                    break
+                kinds.add(state_of(x))
+            else:
+                open_lists.pop()
+                kinds = sorted(kinds - {"-"})
+                state = "T" if kinds == ["t"] else _bounded("[" + "|".join(kinds) + "]")
+                if not open_lists:
+                    return state
+                open_lists[-1][1].add(state)
     return "t"
 
 
+def _bounded(state: str) -> str:
+    return state if len(state) <= STATE_CHARS else "#" + hashlib.sha256(state.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def leave_object(pairs: list[tuple[str, object]]) -> Shape:
     """The automaton's transition, called for each object after all it holds: labels without white space (a later label of the same name wins) and their states; fields that hold nothing don't count."""
     fields = {clean_key(k): v for k, v in pairs}
     parts = sorted(f"{k}:{s}" for k, v in fields.items() if (s := state_of(v)) != "-")
-    return Shape(fields, "{" + ",".join(parts) + "}")
+    return Shape(fields, _bounded("{" + ",".join(parts) + "}"))
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+
+
+def _load_deep(text: str):
+    """What json.loads gives with leave_object, without recursion; ValueError for what isn't complete JSON."""
+    holders: list[list] = []  # of open lists their members, of open objects their (label, value) pairs
+    labels: list[str | None] = []  # the label that waits for its value; None in lists
+    n, i = len(text), 0
+    skip = lambda k: _BLANK.match(text, k).end()
+
+    def label(k: int) -> tuple[str, int]:
+        if text[k : k + 1] != '"':
+            raise ValueError("no label")
+        name, k = json.decoder.scanstring(text, k + 1, True)
+        k = skip(k)
+        if text[k : k + 1] != ":":
+            raise ValueError("no colon")
+        return name, skip(k + 1)
+
+    i = skip(i)
+    while True:
+        c = text[i : i + 1]
+        if c in ("[", "{") and c:
+            i = skip(i + 1)
+            if text[i : i + 1] != ("]" if c == "[" else "}"):
+                name = None
+                if c == "{":
+                    name, i = label(i)
+                holders.append([])
+                labels.append(name)
+                continue
+            value, i = [] if c == "[" else leave_object([]), i + 1
+        elif c == '"':
+            value, i = json.decoder.scanstring(text, i + 1, True)
+        elif m := _SCALAR.match(text, i):
+            value, i = json.loads(m.group()), m.end()
+        else:
+            raise ValueError("no value")
+        while True:  # the value goes into what holds it; what ends with it goes on in turn
+            i = skip(i)
+            if not holders:
+                if i != n:
+                    raise ValueError("more text")
+                return value
+            of_object = labels[-1] is not None
+            holders[-1].append((labels[-1], value) if of_object else value)
+            c = text[i : i + 1]
+            i = skip(i + 1)
+            if c == ",":
+                if of_object:
+                    labels[-1], i = label(i)
+                break
+            if c != ("}" if of_object else "]"):
+                raise ValueError("torn")
+            value = holders.pop()
+            labels.pop()
+            value = leave_object(value) if of_object else value
+
+
+def load_body(text: str):
+    """The JSON of a body, its objects as Shapes, however deep; ValueError for what isn't complete JSON."""
+    try:
+        return json.loads(text, object_pairs_hook=leave_object)
+    except RecursionError:
+        return _load_deep(text)
 
 
 def subtype(level: int, shape: Shape) -> str:
@@ -112,8 +206,8 @@ def walk(body: str | None) -> Iterator[tuple]:
     if not body:
         return
     try:
-        root = json.loads(body, object_pairs_hook=leave_object)
-    except (ValueError, RecursionError):
+        root = load_body(body)
+    except ValueError:
         return
     tops = [root]
     for label in ROOT_PATH:

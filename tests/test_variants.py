@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,3 +89,32 @@ def test_split_rule(spark):
     got = {(c.article_no, c.paragraph_no, c.is_parent) for c in chunking.article_chunks(df).collect()}
     assert got == {(100, None, True), (100, 1, False), (100, 3, False), (200, None, False)}
     assert rows(chunking.body_meta(df))[0][1:] == ("1", "나라법", __import__("datetime").date(2024, 1, 1), None, "일부개정", "부")
+
+
+DEPTH = 20_000
+
+
+@pytest.mark.parametrize("deep", ["[" * DEPTH + "]" * DEPTH, "[" * DEPTH + '"x"' + "]" * DEPTH, '{"a":' * DEPTH + "1" + "}" * DEPTH, '{"content":' * DEPTH + '"x"' + "}" * DEPTH])
+def test_deep_bodies(spark, deep):
+    """However deep a field is, a complete body gives its nodes and facts; a torn one gives none."""
+    whole = json.dumps(body([{"조문번호": "1", "조문내용": "DEEP"}, {"조문번호": "2", "조문내용": "나"}]), ensure_ascii=False).replace('"DEEP"', deep)
+    df = spark.createDataFrame([(1, whole), (2, whole[:-1]), (3, whole + "]")], "body_id long, body string")
+    got = rows(variants.nested_nodes(df, "body_id", "body"), "record_id", "jo_pos", "text")
+    assert got == [(1, 1, "x" if "x" in deep else None), (1, 2, "나")]
+    assert [r.body_id for r in chunking.body_meta(df).collect()] == [1]
+
+
+values = st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=20)
+
+
+@settings(max_examples=150, deadline=None)
+@given(values, st.integers(0, 3), st.integers(0, 400))
+def test_both_parsers_alike(value, indent, cut):
+    for text in (t := json.dumps(value, indent=indent or None), t[:cut]):
+        results = []
+        for parse in (lambda x: json.loads(x, object_pairs_hook=variants.leave_object), variants._load_deep):
+            try:
+                results.append(repr(parse(text)))
+            except ValueError:
+                results.append("torn")
+        assert results[0] == results[1]
