@@ -1,21 +1,23 @@
 """Long exact spans shared between records: recompression gives equal passages equal interior symbols.
 
-Rounds of recompression rename every document's characters: a run of equal symbols becomes one symbol, then each pair of
-neighbours of which the first is in the round's left class and the second in its right class becomes one. Names are 64-bit
+Rounds of recompression rename every document's characters: a short run of equal symbols becomes one symbol, then each pair
+of neighbours of which the first is in the round's left class and the second in its right class becomes one. Names are 64-bit
 hashes of what they stand for and the classes are a bit of the name, so the naming is the same all over the cluster
-without a dictionary to shuffle. Symbols of FREEZE characters and more aren't paired any further. A round can only differ
-at the ends of a passage, by one symbol: of a passage of `least` characters that occurs in several documents, the
-middle is cut into the same symbols in all of them.
+without a dictionary to shuffle. What a round may join is bounded in characters (STEPS), runs too, longer ones staying
+apart; so whether a symbol begins at a place, and its name, depend on the REACH[0] characters before that place and
+the REACH[1] from it on, and on nothing else: a passage that occurs in several documents has the same symbols in all of them but
+for those ends, whatever stands around it.
 
 Each window of `least` characters is known by its anchor: of the symbols that begin in its middle, that with the least
-name (the last of equals). The first pass emits each anchor with a hash of the text around it that every window of that anchor
-holds. Anchors whose surroundings occur in one document only are done with. For the others the second
-pass sends the text of their windows, keyed by the anchor; where several documents meet, equal windows are found by
+name (the last of equals). An anchor's key is the sequence of the symbols around it that are certain in every window of that anchor.
+The first pass emits keys; those that occur in one document only are done with. For the others the second
+pass sends the text of their windows, keyed alike; where several documents meet, equal windows are found by
 their hashes, compared character by character, and joined to stretches.
 
 No pairs are formed: a key's group is passed once. What several documents of one batch share is settled before the shuffle,
 all but one of them leave the group (that one says that it is shared, whatever its own id), so copies and boilerplate held by a third of all documents come down to a row a
-batch; an anchor with more than HOT_ROWS rows and 1/HOT_SHARE of all is spread by its single windows' hashes.
+batch; a key with more than HOT_ROWS rows and 1/HOT_SHARE of all is spread by its single windows' hashes. Neighbouring
+anchors of one key, as rulers and other repetitions have them, are one row.
 """
 
 from __future__ import annotations
@@ -31,13 +33,16 @@ from pyspark.sql.window import Window as W
 from lexstrata.session import cut_lineage
 
 LEAST = 200
-ROUNDS = 7
-FREEZE = 16  # symbols of this length aren't paired further
-LONGEST = 32  # runs this long stay single symbols
+#: Of each round the longest run, in characters, that becomes one symbol, and the longest symbol that may be paired.
+STEPS = ((3, 3), (4, 5), (6, 6))
+#: Characters before a place, and from it on, on which the symbol that begins there depends. Whether a run stays within its bound is told
+#: by symbols that begin at most that bound away, whether a symbol ends a pair by one that begins at most a pairable symbol's length before.
+REACH = (sum(map(sum, STEPS)), sum(map(sum, STEPS)) + 1)
 HOT_ROWS = 20_000
 HOT_SHARE = 2_000
 CHUNK_CHARS = 400_000
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 15, 1 << 28  # of the filter of sharing documents: at least, at most (32 MB)
+_PLACE = 22  # bits of a place in a buffer
 
 _U = np.uint64
 _M1, _M2, _BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -83,87 +88,103 @@ class RollingHash:
         return _mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
 
 
-def recompress(points: np.ndarray, firsts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def recompress(points: np.ndarray, firsts: np.ndarray, steps: tuple[tuple[int, int], ...] = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """(name, start) of the symbols of a buffer of several texts after all rounds; firsts: where the texts begin."""
     name = _mix(points.astype(np.uint64) * _M2 + _BASE)
     start = np.arange(len(points), dtype=np.int64)
     size = np.ones(len(points), np.int64)
     first = np.zeros(len(points), bool)
     first[firsts] = True
-    for r in range(rounds):
+
+    def joined(gone: np.ndarray) -> tuple[np.ndarray, ...]:
+        keep = np.ones(len(name), bool)
+        keep[gone] = False
+        return name[keep], start[keep], size[keep], first[keep]
+
+    for r, (run_chars, pair_chars) in enumerate(steps):
         # runs
         equal = np.flatnonzero((name[1:] == name[:-1]) & ~first[1:]) + 1
         if len(equal):
             new = np.r_[True, equal[1:] != equal[:-1] + 1]
             head = equal[new] - 1
             count = np.diff(np.r_[np.flatnonzero(new), len(equal)]) + 1
-            short = count * size[head] < LONGEST
+            short = count * size[head] <= run_chars
             gone = equal[np.repeat(short, count - 1)]
             head, count = head[short], count[short]
             name[head] = _mix(name[head] + count.astype(np.uint64) * _M1)
             size[head] *= count
-            keep = np.ones(len(name), bool)
-            keep[gone] = False
-            name, start, size, first = name[keep], start[keep], size[keep], first[keep]
+            name, start, size, first = joined(gone)
         # pairs
         right = (name * _SALTS[r]) >> _U(63) == 1
-        free = size < FREEZE
+        free = size <= pair_chars
         left = free & ~right
         right &= free & ~first
         at = np.flatnonzero(left[:-1] & right[1:])
         name[at] = _mix(name[at] * _M1 + name[at + 1] * _M2 + _SALTS[r])
         size[at] += size[at + 1]
-        keep = np.ones(len(name), bool)
-        keep[at + 1] = False
-        name, start, size, first = name[keep], start[keep], size[keep], first[keep]
+        name, start, size, first = joined(at + 1)
     return name, start
 
 
-def _nearest_less(name: np.ndarray, start: np.ndarray, reach: int, step: int) -> np.ndarray:
-    """The start of the nearest symbol before (step -1: with a lesser name) or after (step 1: with a lesser or equal one), if within reach; else a place beyond reach."""
-    n = len(name)
-    out = start + step * (reach + 1)
-    active = np.arange(n)
-    k = 0
-    while len(active):
-        k += step
-        other = active + k
-        inside = (other >= 0) & (other < n)
-        active, other = active[inside], other[inside]
-        near = np.abs(start[other] - start[active]) <= reach
-        active, other = active[near], other[near]
-        hit = name[other] < name[active] if step < 0 else name[other] <= name[active]
-        out[active[hit]] = start[other[hit]]
-        active = active[~hit]
-    return out
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbouring values, by the running minima of blocks from both sides."""
+    n = len(values) - width + 1
+    padded = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(values)] = values
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
 class Anchors:
-    """The anchors of all windows of a buffer of texts: for each its place, its window starts lo..hi, and its key."""
+    """The anchors of all windows of a buffer of texts: for each its text, its place, its window starts lo..hi, and its key.
+
+    A window that begins at x takes its anchor from the symbols that begin in x + margin .. x + margin + middle - 1; every
+    window of an anchor holds all on which the symbols depend that begin from `around` before it to `around` behind it.
+    """
 
-    def __init__(self, texts: list[str], least: int, rounds: int = ROUNDS):
+    def __init__(self, texts: list[str], least: int, steps: tuple[tuple[int, int], ...] = STEPS):
         self.least = least
-        margin = least * 3 // 10
         middle = least * 3 // 10
-        raw = "".join(texts)
-        points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
+        around = (least + 1 - sum(REACH) - middle) // 2
+        margin = REACH[0] + around
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lengths)
-        begins = ends - lengths
-        name, start = recompress(points, begins[lengths > 0], rounds)
-        owner = np.searchsorted(ends, start, side="right")
-        # windows x .. x + middle - 1 of symbol starts; a window of text begins margin before x
-        low, high = begins[owner] + margin, ends[owner] - least + margin
-        before = np.maximum(_nearest_less(name, start, middle, -1) + 1, start - middle + 1)
-        after = np.minimum(_nearest_less(name, start, middle, 1) - middle, start)
-        lo, hi = np.maximum(before, low), np.minimum(after, high)
-        some = lo <= hi
-        self.owner, self.place = owner[some], start[some]
-        self.lo, self.hi = lo[some] - margin, hi[some] - margin
-        self.begins = begins
-        rolling = RollingHash(points)
-        core = rolling.between(self.place - margin, self.place + least - margin - middle + 1)
-        self.key = core.view(np.int64)
+        self.begins = ends - lengths
+        none = np.zeros(0, np.int64)
+        self.owner = self.place = self.lo = self.hi = self.key = none
+        if not len(points) or len(points) < least:
+            return
+        if len(points) >> _PLACE:
+            raise ValueError("a buffer too long for its places")
+        name, start = recompress(points, self.begins[lengths > 0], steps)
+        # symbols in the order of their names, later ones first among equals
+        order = np.full(len(points), np.iinfo(np.uint64).max, np.uint64)
+        mask = _U((1 << _PLACE) - 1)
+        order[start] = (name & ~mask) | (mask - start.astype(np.uint64))
+        low = _sliding_least(order, middle)
+        window = np.concatenate([np.arange(a, b - least + 1) for a, b in zip(self.begins, ends, strict=True)]) if len(texts) else none
+        if not len(window):
+            return
+        place = (mask - (low[window + margin] & mask)).astype(np.int64)
+        head = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(window) != 1)])
+        self.place, self.lo, self.hi = place[head], window[head], window[np.r_[head[1:], len(window)] - 1]
+        self.owner = np.searchsorted(ends, self.place, side="right")
+        # the sequence of symbols around the anchor, and where in it the anchor is
+        i, j = np.searchsorted(start, self.place - around), np.searchsorted(start, self.place + around, side="right")
+        symbols = RollingHash(name)
+        self.key = _mix(symbols.between(i, j) + (self.place - start[i]).astype(np.uint64) * _M1).view(np.int64)
+        self._join_repetitions()
+
+    def _join_repetitions(self) -> None:
+        """Neighbouring anchors of one key become one, known by the first; of window starts at most 2**15 apart."""
+        part = (self.lo - self.begins[self.owner]) >> 15
+        same = (self.key[1:] == self.key[:-1]) & (self.owner[1:] == self.owner[:-1]) & (self.lo[1:] == self.hi[:-1] + 1) & (part[1:] == part[:-1])
+        head = np.flatnonzero(np.r_[True, ~same])
+        self.hi = self.hi[np.r_[head[1:], len(same) + 1] - 1]
+        self.owner, self.place, self.lo, self.key = self.owner[head], self.place[head], self.lo[head], self.key[head]
 
 
 def _segments(texts: list[str | None], least: int, most: int = CHUNK_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -215,8 +236,8 @@ FIRST_SCHEMA = "core long, doc long, sig long, at int, span int, weight int"
 class _FirstPass:
     """(doc, sig, text) to anchors. span packs the window starts: (at - lo) and (hi - lo)."""
 
-    def __init__(self, least: int, rounds: int):
-        self.least, self.rounds = least, rounds
+    def __init__(self, least: int):
+        self.least = least
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +245,7 @@ class _FirstPass:
             texts, row_of, offset = _segments(batch.column("text").to_pylist(), self.least)
             parts = []
             for a, b in _chunks(texts):
-                x = Anchors(texts[a:b], self.least, self.rounds)
+                x = Anchors(texts[a:b], self.least)
                 piece = x.owner + a
                 parts.append((x.key, row_of[piece], x.place - x.begins[x.owner] + offset[piece], (x.place - x.lo) << 16 | (x.hi - x.lo)))
             if not parts or not any(len(p[0]) for p in parts):
@@ -405,7 +426,7 @@ class _Meet:
 
 
 def _filter_of(ids: DataFrame, bits: int) -> DataFrame:
-    """(slot, flags): a bitmap of hashed ids in slots of 4 KB; at most bits / 32768 rows, so it may be broadcast."""
+    """(slot, flags): a bitmap of hashed ids in slots of 4 KB; at most bits / 32768 rows (FILTER_BITS: 32 MB), so it may be broadcast."""
     spot = F.pmod(F.xxhash64("doc", F.lit("filter")), F.lit(bits))
     return ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("flags"))
 
@@ -419,20 +440,20 @@ def _maybe_in(df: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
     return joined.where(F.expr(f"(shiftright({octet}, cast(bitmap_bit_position(spot) % 8 as int)) & 1) = 1")).drop("spot", "slot", "flags")
 
 
-def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: Column | str = "text", least: int = LEAST, rounds: int = ROUNDS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: Column | str = "text", least: int = LEAST, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, start_at, span_len): every longest unbroken stretch of characters that lie in runs of at least `least`
     characters standing verbatim in another document; start_at from 1; distinct.
 
     Rows with a null id or text and texts shorter than `least` share nothing; a row repeated under its own id isn't another
     document; an id with several texts has the stretches of each; ids are whole numbers. Texts are taken whole.
     """
-    if least < LEAST:
-        raise ValueError(f"spans under {LEAST} characters don't keep symbols in common for sure")
+    if least < 2 * sum(REACH):
+        raise ValueError(f"spans under {2 * sum(REACH)} characters have too few symbols in common for sure")
     picked = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), (F.col(text) if isinstance(text, str) else text).alias("text"))
     picked = picked.where(F.length("text") >= least).withColumn("sig", F.xxhash64("text"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = picked.select("doc", "sig", "text").mapInArrow(_FirstPass(least, rounds), FIRST_SCHEMA)
+    anchors = picked.select("doc", "sig", "text").mapInArrow(_FirstPass(least), FIRST_SCHEMA)
     # Rows that another one stands for go anywhere; so a key's group has at most one row a batch that several documents of it share.
     route = F.when(F.col("weight") == 0, F.xxhash64("core", "doc", "at")).otherwise(F.col("core"))
     by_key = W.partitionBy("key")
@@ -441,19 +462,24 @@ def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: Column | str
     met = met.where("least_weight <= 0 or a < b")
     shared = met.groupBy("doc", "sig").agg(F.collect_set(F.struct("core", "at", "span", F.col("rows").cast("int").alias("rows"))).alias("anchors"))
     shared = cut_lineage(shared)  # read three times: for the hot keys, the filter and the join
-    some = _maybe_in(picked, shared.select("doc"), FILTER_BITS)
+    n_texts, n_anchors = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
+    some = _maybe_in(picked, shared.select("doc"), filter_bits(n_texts))
     rows = some.join(shared, ["doc", "sig"]).select("doc", "text", "anchors")
-    windows = rows.mapInArrow(_SecondPass(least, _hot_keys(shared, hot_rows)), SECOND_SCHEMA)
+    windows = rows.mapInArrow(_SecondPass(least, _hot_keys(shared, max(hot_rows, n_anchors // HOT_SHARE))), SECOND_SCHEMA)
     sorted_windows = windows.repartition(parts, "key").sortWithinPartitions("key")
     ranges = sorted_windows.mapInArrow(_Meet(least), "doc long, start int, end int")
     return _joined(ranges).select(F.col("doc").alias(doc_id), (F.col("start") + 1).alias("start_at"), (F.col("end") - F.col("start")).alias("span_len"))
 
 
-def _hot_keys(shared: DataFrame, hot_rows: int) -> frozenset[int]:
-    """Anchors with more than hot_rows rows and more than 1/HOT_SHARE of all: fewer than HOT_SHARE by construction."""
-    total = shared.agg(F.sum(F.size("anchors"))).first()[0] or 0
+def filter_bits(n: int) -> int:
+    """Eight to sixteen bits an id, within FILTER_BITS; beyond, the filter only lets more pass."""
+    return min(max(1 << (8 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+
+def _hot_keys(shared: DataFrame, limit: int) -> frozenset[int]:
+    """Anchors with more rows than the limit, i.e. than 1/HOT_SHARE of all: fewer than HOT_SHARE by construction."""
     each = shared.select(F.explode("anchors").alias("x")).select("x.core", "x.rows")
-    return frozenset(r[0] for r in each.where(F.col("rows") > max(hot_rows, total // HOT_SHARE)).select("core").distinct().collect())
+    return frozenset(r[0] for r in each.where(F.col("rows") > limit).select("core").distinct().collect())
 
 
 def _joined(ranges: DataFrame) -> DataFrame:

@@ -119,28 +119,105 @@ def test_longer_spans(spark, monkeypatch):
     monkeypatch.setitem(globals(), "LEAST", 300)
     assert found(spark, docs, least=300) == brute(docs)
     with pytest.raises(ValueError):
-        longspans.shared_stretches(spark.createDataFrame([], "doc_id long, text string"), least=100)
+        longspans.shared_stretches(spark.createDataFrame([], "doc_id long, text string"), least=80)
 
 
 def test_empty(spark):
     assert found(spark, []) == set()
 
 
-@settings(max_examples=40, deadline=None)
+def keys_of(text, least=LEAST):
+    """The key of each window of a text."""
+    x = longspans.Anchors([text], least)
+    own = np.zeros(max(0, len(text) - least + 1), np.int64)
+    count = np.zeros(len(own), int)
+    for key, lo, hi in zip(x.key, x.lo, x.hi):
+        own[lo : hi + 1] = key
+        count[lo : hi + 1] += 1
+    assert (count == 1).all()
+    return own
+
+
+def assert_same_keys(shared, around, least=LEAST):
+    n = len(shared) - least + 1
+    runs = [keys_of(before + shared + after, least)[len(before) : len(before) + n] for before, after in around]
+    assert all((r == runs[0]).all() for r in runs)
+
+
+@settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab가 .", min_size=200, max_size=260), st.text(alphabet="ab가 .-", max_size=80), st.text(alphabet="ab가 .-", max_size=80), st.text(alphabet="ab가 .-", max_size=80), st.text(alphabet="ab가 .-", max_size=80))
 def test_a_shared_window_has_one_key(shared, a, b, c, d):
     """Every window of `LEAST` characters that two texts have in common is known by the same key in both."""
-    keys = []
-    for before, after in ((a, b), (c, d)):
-        x = longspans.Anchors([before + shared + after], LEAST)
-        own = {}
-        for key, lo, hi, place in zip(x.key, x.lo, x.hi, x.place):
-            for s in range(lo, hi + 1):
-                assert s not in own
-                own[int(s) - len(before)] = (int(key), int(place) - len(before))
-        keys.append(own)
-    for s in range(len(shared) - LEAST + 1):
-        assert keys[0][s] == keys[1][s]
+    assert_same_keys(shared, [(a, b), (c, d)])
+
+
+def periodic(rnd, n, depth=0):
+    """A text of nested repetitions: runs, periods of runs, periods of these."""
+    if depth == 0 or rnd.random() < 0.2:
+        return rnd.choice("ab-. ") * rnd.choice([1, 2, 3, 5, 6, 13, 15, 28, 31, 34, 70])
+    unit = "".join(periodic(rnd, n, depth - 1) for _ in range(rnd.choice([1, 2, 3])))
+    return (unit * rnd.choice([1, 2, 3, 5, 9]))[: 2 * n]
+
+
+def test_a_run_that_goes_on_on_one_side_only():
+    w = "b" * 28 + "a" * 6 + ("b" * 34 + "a" * 6) * 4 + "b" * 6
+    rnd = random.Random(3)
+    noise = lambda: "".join(rnd.choice("가나다라마바사 xyz") for _ in range(200))
+    assert len(w) == LEAST
+    for _ in range(50):
+        assert_same_keys(w, [("b" * 200, noise()), (noise(), noise()), ("", "b" * 99), (noise(), "")])
+
+
+def test_such_a_run_end_to_end(spark):
+    w = "b" * 28 + "a" * 6 + ("b" * 34 + "a" * 6) * 4 + "b" * 6
+    rnd = random.Random(3)
+    noise = lambda: "".join(rnd.choice("가나다라마바사 xyz") for _ in range(200))
+    x = "ab" * 60 + "a" * 31 + "ba" * 25 + "a" * 4
+    docs = [(1, "b" * 200 + w + noise()), (2, noise() + w + noise()), (3, "ab" * 90 + x + noise()), (4, "a" * 90 + x + "a" * 31), (5, noise() + x)]
+    assert found(spark, docs) == brute(docs)
+    assert {d for d, _, _ in brute(docs)} == {1, 2, 3, 4, 5}
+
+
+def test_nested_periods():
+    """Windows of nested repetitions keep their key whatever stands around them, also where it carries the repetition on."""
+    rnd = random.Random(12)
+    windows = 0
+    while windows < 20_000:
+        text = "".join(periodic(rnd, 300, 3) for _ in range(2))
+        if len(text) < 230:
+            continue
+        at = rnd.randrange(len(text) - 220)
+        shared = text[at : at + rnd.randrange(200, 320)]
+        around = [(text[max(0, at - 150) : at], text[at + len(shared) :][:150])]
+        for _ in range(3):
+            before, after = (periodic(rnd, 100, 2)[-150:] for _ in range(2))
+            around.append((before + rnd.choice(["", shared[0] * rnd.randrange(80)]), rnd.choice(["", shared[-1] * rnd.randrange(80)]) + after))
+        assert_same_keys(shared, around)
+        windows += 4 * (len(shared) - LEAST + 1)
+
+
+def test_symbols_depend_on_their_reach_only():
+    """STEPS' bound on what a symbol depends on, tried with other texts beyond it."""
+    rnd = random.Random(7)
+    left, right = longspans.REACH
+    begins = lambda t: dict(zip(*reversed(longspans.recompress(np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([0]))), strict=True))
+    for _ in range(2000):
+        part = "".join(rnd.choice("aab") * rnd.choice([1, 1, 2, 3, 4, 7]) for _ in range(60))[: left + right + 30]
+        x, y = (begins("".join(rnd.choice("ab") * rnd.randrange(1, 9) for _ in range(9))[:40].rjust(40, "c") + part + "".join(rnd.choice("ab") for _ in range(40))) for _ in range(2))
+        for p in range(40 + left, 40 + len(part) - right + 1):
+            assert x.get(p) == y.get(p)
+
+
+def test_repetitions_are_one_row():
+    x = longspans.Anchors(["=" * 5000], LEAST)
+    assert len(x.key) == 1 and x.lo[0] == 0 and x.hi[0] == 5000 - LEAST
+    assert len(longspans.Anchors(["=" * 200_000], LEAST).key) == -(-(200_000 - LEAST + 1) // (1 << 15))
+
+
+def test_filter_grows_with_what_it_holds():
+    assert longspans.filter_bits(0) == longspans.FILTER_BITS[0]
+    assert 8 <= longspans.filter_bits(100_000) / 100_000 <= 16
+    assert longspans.filter_bits(10**12) == longspans.FILTER_BITS[1]
 
 
 def test_segments_hold_every_window(monkeypatch):
