@@ -1,12 +1,13 @@
 """Filling containers of fixed capacity: Karmarkar-Karp multiway differencing.
 
-Items are spread by a hash of their id over shards of about SHARD_WINDOWS containers' worth. In a shard each item begins as
+Items are spread over shards of about SHARD_WINDOWS containers' worth by a hash of their id and size and, of equal ones, of
+the block of TOGETHER of them they are counted into, so no id and no size gathers in one shard. In a shard each item begins as
 a partition into k windows, k being the least number that could hold all: its size in one window, nothing in the others. The two
 partitions with the greatest spread (largest less smallest window) are merged with opposing imbalances, the fullest
 window of one with the emptiest of the other, until one partition is left: k nearly equal windows. If a window
 exceeds the capacity and no move or swap of single items relieves it, k rises and the shard is packed anew.
 
-Only ids and sizes move. An item above the capacity is cut into full containers and a rest; the rest is packed like an item.
+Only ids and sizes move, equal ones as one row and their number. An item above the capacity is cut into full containers and a rest; the rest is packed like an item.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 CAPACITY = 8192
 SHARD_WINDOWS = 128
+SHARD_ITEMS = 8_192
 SHARDS_A_TASK = 256
+TOGETHER = 16  # equal items that stay together
 PACK_SCHEMA = "container_id string, item_id long, piece_no int, first_unit long, units long"
 
 
@@ -124,7 +127,8 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 def _pack_shard(capacity: int):
     def run(data: pa.Table) -> pa.Table:
         shard = data["shard"][0].as_py()
-        data = data.sort_by([("item_id", "ascending"), ("piece_no", "ascending")])
+        data = data.sort_by([("item_id", "ascending"), ("piece_no", "ascending"), ("units", "ascending")])
+        data = data.take(np.repeat(np.arange(data.num_rows), data["n"].to_numpy()))
         sizes = data["units"].to_pylist()
         names = [""] * len(sizes)
         for w, window in enumerate(pack(sizes, capacity)):
@@ -142,15 +146,13 @@ def fill_containers(items: DataFrame, item_id: str, size: Column, capacity: int
     An item is whole (piece_no 1, first_unit 1) unless it is larger than a container. Null sizes count as 0, negative
     ones raise; size 0 takes no room but has a place. Null ids are items; repeated rows are items of their own. One
     aggregate over the sizes (one row to the driver) tells the number of shards; shards then hold about the same load
-    whatever source or key the items come from.
+    and number of items, whatever source, key or id the items come from, be they all of one id or of none.
     """
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(size.cast("long"), F.lit(0)).alias("size"))
     rows = rows.withColumn("size", F.when(F.col("size") >= 0, F.col("size")).otherwise(F.raise_error(F.lit("negative size"))))
     full = F.floor(F.col("size") / capacity).cast("int")
     rest = F.col("size") - F.floor(F.col("size") / capacity) * capacity
-    pieces = rows.select(
-        "item_id", "size", full.alias("n_full"), rest.alias("rest"),
-    )
+    pieces = rows.select("item_id", "size", full.alias("n_full"), rest.alias("rest"))
     whole = pieces.where(F.col("n_full") > 0).select("item_id", F.explode(F.sequence(F.lit(1), F.col("n_full"))).alias("piece_no"))
     whole = whole.select(
         F.concat(F.lit("full-"), F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.lit("-"), F.col("piece_no").cast("string")).alias("container_id"),
@@ -158,9 +160,15 @@ def fill_containers(items: DataFrame, item_id: str, size: Column, capacity: int
     )
     loose = pieces.where((F.col("rest") > 0) | (F.col("n_full") == 0)).select("item_id", (F.col("n_full") + 1).alias("piece_no"), (F.col("size") - F.col("rest") + 1).alias("first_unit"), F.col("rest").alias("units"))
     total = loose.agg(F.sum("units"), F.count(F.lit(1))).first()
-    by_load, by_count = (total[0] or 0) // (capacity * shard_windows), (total[1] or 0) // (shard_windows * 64)
-    shards = int(max(1, by_load, by_count))
+    shards = int(max(1, (total[0] or 0) // (capacity * shard_windows), (total[1] or 0) // SHARD_ITEMS))
     # Little data but much computing a shard: the number of tasks follows the shards, not the bytes that adaptive execution would go by.
     tasks = min(shards, max(4 * items.sparkSession.sparkContext.defaultParallelism, shards // SHARDS_A_TASK))
-    placed = loose.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece_no", F.lit("shard")), F.lit(shards))).repartition(tasks, "shard")
+    # Equal rows are told apart by nothing but their number; so a hot id is a row for each of its sizes before it is spread.
+    same = loose.groupBy("item_id", "piece_no", "first_unit", "units").agg(F.count(F.lit(1)).alias("n"))
+    # in two steps, so that no array grows with the data
+    last = F.floor((F.col("n") - 1) / TOGETHER)
+    far = same.withColumn("far", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(last, 16))))
+    blocks = far.withColumn("block", F.explode(F.sequence(F.shiftleft("far", 16), F.least(last, F.shiftleft("far", 16) + 65535)))).drop("far")
+    blocks = blocks.withColumn("n", F.least(F.lit(TOGETHER), F.col("n") - F.col("block") * TOGETHER))
+    placed = blocks.withColumn("shard", F.pmod(F.xxhash64("item_id", "piece_no", "units", "block", F.lit("shard")), F.lit(shards))).drop("block").repartition(tasks, "shard")
     return placed.groupBy("shard").applyInArrow(_pack_shard(capacity), PACK_SCHEMA).unionByName(whole)

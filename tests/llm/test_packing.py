@@ -77,3 +77,21 @@ def test_empty_and_bad(spark):
     assert [tuple(r)[1:] for r in filled(spark, [(1, 0)])] == [(1, 1, 1, 0)]
     with pytest.raises(Exception, match="negative"):
         filled(spark, [(1, -1)])
+
+
+@pytest.mark.parametrize("ids", [[None], [7], [None, 1, 2]])
+def test_hot_ids(spark, ids):
+    """All rows of one id, or of none: shards hold about the same, so packing takes seconds, and nothing is lost."""
+    rnd = random.Random(2)
+    sizes = [min(8000, max(1, int(rnd.lognormvariate(6, 1)))) for _ in range(50_000)]
+    df = spark.createDataFrame([(rnd.choice(ids), s) for s in sizes], "id long, size long")
+    got = packing.fill_containers(df, "id", F.col("size")).groupBy("container_id").agg(F.sum("units").alias("load"), F.count(F.lit(1)).alias("n")).collect()
+    assert max(r.load for r in got) <= packing.CAPACITY
+    assert sum(r.load for r in got) == sum(sizes) and sum(r.n for r in got) == len(sizes)
+    assert sum(sizes) / (len(got) * packing.CAPACITY) > 0.98
+
+
+def test_one_size_of_one_id(spark):
+    df = spark.range(30_000).select(F.lit(None).cast("long").alias("id"), F.lit(100).alias("size"))
+    got = packing.fill_containers(df, "id", F.col("size")).groupBy("container_id").agg(F.sum("units").alias("load")).collect()
+    assert sum(r.load for r in got) == 3_000_000 and max(r.load for r in got) <= packing.CAPACITY and len(got) < 3_000_000 / 8100 * 1.02
