@@ -6,9 +6,11 @@ through it, the length of the longest match ending at each place being tracked;
 the state that holds the last `limit` characters have leaked.
 
 A match of `limit` characters covers one of the places probed at a stride of limit - seed + 1 with its whole seed, so
-streaming starts only at probes whose seed the automaton knows, and from there exactly as far as matches reach.
-Items go into automata of at most BLOCK_CHARS characters; more items make more automata, which the documents
-pass in turn, so what is broadcast is bounded whatever the number of items.
+streaming starts only at probes whose seed the automaton knows (a prefilter that loses nothing), and from there exactly as far as matches reach.
+
+Items go into automata of at most BLOCK_CHARS characters. If one holds them all, it is broadcast. Else the corpus is passed
+once for its probes, of which those leave whose hashes may be a seed's; met with the seeds of all items they tell which
+documents have to go through which automata, and only these documents are sent there, spread by SALT_CHARS.
 """
 
 from __future__ import annotations
@@ -16,27 +18,34 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lexstrata.llm.longspans import RollingHash, filter_bits, filter_of, maybe_in
 from lexstrata.llm.normalize import BatchSql, form_of, letters_sql, with_sql
 from lexstrata.session import cut_lineage
 
 MIN_RUN = 50
 BLOCK_CHARS = 250_000
+SALT_CHARS = 4_000_000  # characters of documents that go through one automaton in one group
 _SHIFT = 21  # a code point's bits
 
 
+def probing(limit: int) -> tuple[int, int]:
+    """(length of a seed, stride): of places a stride apart, one begins a seed that lies whole in a match of `limit` characters."""
+    seed = max(1, limit // 2)
+    return seed, limit - seed + 1
+
+
 class ItemAutomaton:
     """Generalised suffix automaton of the items' characters; transitions in one dict keyed by state and character."""
 
     def __init__(self, items: list[tuple[int, str]], limit: int = MIN_RUN):
-        self.limit, self.seed = limit, max(1, limit // 2)
-        self.stride = limit - self.seed + 1
+        self.limit, (self.seed, self.stride) = limit, probing(limit)
         self.step: dict[int, int] = {}
         self.link, self.length = [-1], [0]
         self._out: list[set[str]] = [set()]
@@ -176,10 +185,26 @@ def without_spans(text: str, folded_chars: int, spans: list[tuple[int, int]], ma
 
 _PLACES = pa.list_(pa.struct([("start_at", pa.int32()), ("end_at", pa.int32())]))
 _PLACES_SQL = "array<struct<start_at int, end_at int>>"
-FOUND_SCHEMA = f"id long, text string, chars int, items array<long>, spans {_PLACES_SQL}"
+FOUND_SCHEMA = f"id long, text string, chars int, copies long, items array<long>, spans {_PLACES_SQL}"
 CLEANED_SCHEMA = f"doc_id long, items array<long>, cut {_PLACES_SQL}, cleaned string, outcome string"
 
 
+def _found_rows(automaton: ItemAutomaton, rows: list[tuple], clean: bool) -> pa.RecordBatch | None:
+    """rows: (id, text, folded text, copies)."""
+    out: list[tuple] = []
+    for doc, text, folded, copies in rows:
+        spans, items = automaton.spans(folded)
+        if items and clean:
+            out.append((doc, text, len(folded), copies, sorted(items), [{"start_at": a + 1, "end_at": b} for a, b in spans]))
+        else:
+            out += [(doc, x) for x in sorted(items)]
+    if not out:
+        return None
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), _PLACES] if clean else [pa.int64()] * 2
+    names = ["id", "text", "chars", "copies", "items", "spans"] if clean else ["doc_id", "item_id"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
 class _Stream:
     """Arrow batches (id, text) of documents against one broadcast automaton; clean: with the text, the length of its folded form and the spans there."""
 
@@ -188,24 +213,75 @@ class _Stream:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = self.automaton.value
-        keep = ["id", "text"] if self.clean else ["id"]
-        for rows in BatchSql({"folded": letters_sql("text")}, keep).run(batches):
-            ids, folded = rows["id"].to_pylist(), rows["folded"].to_pylist()
-            out: list[tuple] = []
-            for k, text in enumerate(folded):
-                spans, items = automaton.spans(text)
-                if items:
-                    if self.clean:
-                        out.append((ids[k], rows["text"][k].as_py(), len(text), sorted(items), [{"start_at": a + 1, "end_at": b} for a, b in spans]))
-                    else:
-                        out += [(ids[k], x) for x in sorted(items)]
-            if out:
-                columns = list(zip(*out, strict=True))
-                if self.clean:
-                    kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), _PLACES]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "text", "chars", "items", "spans"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id"])
+        for rows in BatchSql({"folded": letters_sql("text")}, ["id", "text"] if self.clean else ["id"]).run(batches):
+            texts = rows["text"] if self.clean else [None] * rows.num_rows
+            found = _found_rows(automaton, [(i, t if t is None else t.as_py(), f, 1) for i, t, f in zip(rows["id"].to_pylist(), texts, rows["folded"].to_pylist(), strict=True)], self.clean)
+            if found is not None:
+                yield found
+
+
+def _seed_hashes(texts: list[str], seed: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the seeds that begin in each text at a stride."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    counts = np.maximum(0, (lengths - seed) // stride + 1) * (lengths >= seed)
+    row = np.repeat(np.arange(len(texts)), counts)
+    if not len(row):
+        return row, np.zeros(0, np.int64)
+    at = (np.cumsum(lengths) - lengths)[row] + (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)) * stride
+    rolling = RollingHash(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
+    return row, rolling.between(at, at + seed).view(np.int64)
+
+
+class _Seeds:
+    """Folded items (block, folded) to (h, block) of all their seeds."""
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, h = _seed_hashes(batch.column(1).to_pylist(), self.seed, 1)
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(pa.array(row))], ["h", "block"])
+
+
+class _Probes:
+    """Documents (doc, sig, text) to the probes whose hash the broadcast bitmap (slot: octets) holds: (doc, sig, chars, h), each once a text."""
+
+    def __init__(self, bitmap, bits: int, limit: int):
+        self.bitmap, self.bits, (self.seed, self.stride) = bitmap, bits, probing(limit)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = self.bitmap.value
+        for rows in BatchSql({"folded": letters_sql("text")}, ["doc", "sig"]).run(batches):
+            texts = rows["folded"].to_pylist()
+            chars = np.array([len(t) for t in texts], np.int64)
+            row, h = _seed_hashes(texts, self.seed, self.stride)
+            spot = h & (self.bits - 1)
+            some = (flags[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+            pairs = np.unique(np.stack([row[some], h[some]]), axis=1)
+            if pairs.shape[1]:
+                at = pa.array(pairs[0])
+                columns = [rows["doc"].combine_chunks().take(at), rows["sig"].combine_chunks().take(at), pa.array(chars[pairs[0]]), pa.array(pairs[1])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "sig", "chars", "h"])
+
+
+class _Group:
+    """A block's items and some of the documents that may hold one of them, to what is found."""
+
+    def __init__(self, limit: int, clean: bool, schema: pa.Schema):
+        self.limit, self.clean, self.schema = limit, clean, schema
+
+    def __call__(self, docs: pa.Table, items: pa.Table) -> pa.Table:
+        found = []
+        if docs.num_rows and items.num_rows:
+            items = items.sort_by([("id", "ascending"), ("folded", "ascending")])
+            automaton = ItemAutomaton(list(zip(items["id"].to_pylist(), items["folded"].to_pylist(), strict=True)), self.limit)
+            for rows in docs.combine_chunks().to_batches(max_chunksize=1000):
+                texts = rows["text"].to_pylist() if self.clean else [None] * rows.num_rows
+                batch = _found_rows(automaton, list(zip(rows["doc"].to_pylist(), texts, rows["folded"].to_pylist(), rows["copies"].to_pylist(), strict=True)), self.clean)
+                found += [] if batch is None else [batch]
+        return pa.Table.from_batches(found, self.schema)
 
 
 class _Cut:
@@ -221,52 +297,71 @@ class _Cut:
             for r in batch.to_pylist():
                 spans = merged_spans([(x["start_at"] - 1, x["end_at"]) for x in r["spans"]])
                 cleaned, cut, outcome = without_spans(r["text"], r["chars"], spans, self.max_coverage)
-                out.append((r["id"], sorted(set(r["items"])), cut and [{"start_at": a + 1, "end_at": b} for a, b in cut], cleaned, outcome))
+                row = (r["id"], sorted(set(r["items"])), cut and [{"start_at": a + 1, "end_at": b} for a, b in cut], cleaned, outcome)
+                out += [row] * r["copies"]  # a document that stands repeated stays so
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "items", "cut", "cleaned", "outcome"])
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, limit: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Folded items in blocks of about block_chars characters (a single longer item is a block of its own)."""
+def folded_items(items: DataFrame, item_id: str, text: str, limit: int) -> DataFrame:
+    """(id, folded): the items that are long enough to leak, each text of an id once."""
     picked = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("t")).distinct()
-    folded = with_sql(picked, {"folded": letters_sql("t")}, ["id"]).where(F.length("folded") >= limit)
-    total = folded.agg(F.sum(F.length("folded"))).first()[0] or 0
-    if total <= block_chars:
-        if total:
-            yield [(r["id"], r["folded"]) for r in folded.orderBy("id", "folded").collect()]
-        return
-    # Blocks by a running sum within hash classes, each of which is of bounded size on average; one block at a time comes to the driver.
-    folded = cut_lineage(folded)
+    return with_sql(picked, {"folded": letters_sql("t")}, ["id"]).where(F.length("folded") >= limit)
+
+
+def in_blocks(folded: DataFrame, total: int, block_chars: int) -> DataFrame:
+    """Items with a block of about block_chars characters each (a single longer item is a block of its own): running sums within hash classes, which are of bounded size on average."""
     classes = -(-2 * total // block_chars)
     w = W.partitionBy("class").orderBy("id", "folded").rowsBetween(W.unboundedPreceding, -1)
     placed = folded.withColumn("class", F.pmod(F.xxhash64("id", "folded"), F.lit(classes)))
-    placed = placed.withColumn("block", F.floor(F.coalesce(F.sum(F.length("folded")).over(w), F.lit(0)) / block_chars))
-    for r in placed.select("class", "block").distinct().orderBy("class", "block").toLocalIterator():
-        block = placed.where((F.col("class") == r["class"]) & (F.col("block") == r["block"]))
-        yield [(x["id"], x["folded"]) for x in block.orderBy("id", "folded").collect()]
+    nth = F.floor(F.coalesce(F.sum(F.length("folded")).over(w), F.lit(0)) / block_chars)
+    return placed.select((F.col("class") * (1 << 31) + nth).alias("block"), "id", "folded")
 
 
-def _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, clean, schema) -> list[DataFrame]:
+def _spread(docs: DataFrame, items: DataFrame, total: int, limit: int, clean: bool, schema: str) -> DataFrame:
+    """What is found where the items need several automata; docs: (id, text), items: (block, id, folded), written."""
+    spark = docs.sparkSession
+    seeds = items.select("block", "folded").mapInArrow(_Seeds(probing(limit)[0]), "h long, block long").distinct()
+    bits = filter_bits(total)
+    flags = np.zeros(bits >> 3, np.uint8)
+    for r in filter_of(seeds.select((F.col("h").bitwiseAND(F.lit(bits - 1)) + 1).alias("spot"))).toLocalIterator():  # bits / 8 octets at most, whatever the items
+        flags[(r["slot"] - 1) * 4096 : r["slot"] * 4096] = np.frombuffer(r["flags"], np.uint8)
+    picked = docs.select(F.col("id").alias("doc"), F.xxhash64("text").alias("sig"), "text")
+    probes = picked.mapInArrow(_Probes(spark.sparkContext.broadcast(flags), bits, limit), "doc long, sig long, chars long, h long")
+    hits = cut_lineage(probes.join(seeds, "h").select("doc", "sig", "chars", "block").distinct())
+    salts = hits.groupBy("block").agg(F.ceil(F.sum("chars") / SALT_CHARS).cast("int").alias("salts"))
+    n = hits.agg(F.count_distinct("doc")).first()[0]
+    once = maybe_in(picked, hits.select("doc"), filter_bits(n)).groupBy("doc", "sig").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    own = ["doc", *(["text"] if clean else []), "copies"]
+    sent = with_sql(once, {"folded": letters_sql("text")}, ["sig", *own]).join(hits, ["doc", "sig"]).join(salts, "block").select("block", F.pmod(F.xxhash64("doc", "sig", F.lit("salt")), "salts").cast("int").alias("salt"), *own, "folded")
+    given = items.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "id", "folded")
+    arrow = pa.schema([("id", pa.int64()), ("text", pa.string()), ("chars", pa.int32()), ("copies", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", _PLACES)]) if clean else pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+    run = _Group(limit, clean, arrow)
+    return sent.groupBy("block", "salt").cogroup(given.groupBy("block", "salt")).applyInArrow(lambda left, right: run(left, right), schema)
+
+
+def _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, clean, schema) -> tuple[DataFrame, bool]:
+    """(what is found, whether several automata may have found something in one document)."""
     spark = docs.sparkSession
     picked = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    out = []
-    for block in item_blocks(items, item_id, item_text, limit, block_chars):
-        automaton = spark.sparkContext.broadcast(ItemAutomaton(block, limit))
-        out.append(picked.mapInArrow(_Stream(automaton, clean), schema))
-    return out or [spark.createDataFrame([], schema)]
+    folded = folded_items(items, item_id, item_text, limit)
+    total = folded.agg(F.sum(F.length("folded"))).first()[0] or 0
+    if total > block_chars:
+        return _spread(picked, cut_lineage(in_blocks(folded, total, block_chars)), total, limit, clean, schema), True
+    if not total:
+        return spark.createDataFrame([], schema), False
+    block = [(r["id"], r["folded"]) for r in folded.orderBy("id", "folded").collect()]
+    return picked.mapInArrow(_Stream(spark.sparkContext.broadcast(ItemAutomaton(block, limit)), clean), schema), False
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = MIN_RUN, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id), distinct: documents that hold at least `limit` consecutive letters and digits of an item.
 
     Null ids and null texts are left out; items shorter than the limit can't leak; an empty table gives no rows.
-    Documents are streamed once per block of items, whole, and nothing of them is shuffled but the result.
+    Documents are taken whole. With one automaton nothing of them is shuffled but the result; with several the corpus is passed twice,
+    for the probes and for the texts of the documents whose probes met a seed, whatever the number of automata.
     """
-    parts = _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, False, "doc_id long, item_id long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    return _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, False, "doc_id long, item_id long")[0].distinct()
 
 
 def leaking_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = MIN_RUN, max_coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -277,11 +372,7 @@ def leaking_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     go (cleaned null, cut the whole text); 'unplaced' where the places in the text as stored can't be told (both null).
     With several automata the leaking documents, and only these, are shuffled with what each automaton found.
     """
-    parts = _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, True, FOUND_SCHEMA)
-    found = parts[0]
-    if len(parts) > 1:
-        found = reduce(DataFrame.unionByName, [p.withColumn("block", F.lit(k)) for k, p in enumerate(parts)])
-        found = found.groupBy("id", "text", "chars").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.count(F.lit(1)).alias("n"), F.size(F.collect_set("block")).alias("blocks"))
-        # a document that stands repeated stays so
-        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / F.col("blocks")).cast("int")))).select("id", "text", "chars", "items", "spans")
+    found, several = _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars, True, FOUND_SCHEMA)
+    if several:
+        found = found.groupBy("id", "text", "chars", "copies").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     return found.mapInArrow(_Cut(max_coverage), CLEANED_SCHEMA)

@@ -425,17 +425,16 @@ class _Meet:
         return d, s, s + 1
 
 
-def _filter_of(ids: DataFrame, bits: int) -> DataFrame:
-    """(slot, flags): a bitmap of hashed ids in slots of 4 KB; at most bits / 32768 rows (FILTER_BITS: 32 MB), so it may be broadcast."""
-    spot = F.pmod(F.xxhash64("doc", F.lit("filter")), F.lit(bits))
-    return ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("flags"))
+def filter_of(spots: DataFrame) -> DataFrame:
+    """(slot from 1, flags): a bitmap of (spot), whole numbers below the filter's bits, in slots of 4 KB; at most bits / 32768 rows (FILTER_BITS: 32 MB), so it may be broadcast."""
+    return spots.groupBy(F.bitmap_bucket_number("spot").alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("flags"))
 
 
-def _maybe_in(df: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
-    """Rows of df whose doc may be among the ids: all that are, and few others, without a shuffle of df."""
+def maybe_in(df: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
+    """Rows of df whose doc may be among the ids (doc): all that are, and few others, without a shuffle of df."""
     spot = F.pmod(F.xxhash64("doc", F.lit("filter")), F.lit(bits))
     df = df.withColumn("spot", spot).withColumn("slot", F.bitmap_bucket_number("spot"))
-    joined = df.join(F.broadcast(_filter_of(ids, bits)), "slot")
+    joined = df.join(F.broadcast(filter_of(ids.select(spot.alias("spot")))), "slot")
     octet = "cast(conv(hex(substring(flags, cast(bitmap_bit_position(spot) div 8 as int) + 1, 1)), 16, 10) as int)"
     return joined.where(F.expr(f"(shiftright({octet}, cast(bitmap_bit_position(spot) % 8 as int)) & 1) = 1")).drop("spot", "slot", "flags")
 
@@ -463,7 +462,7 @@ def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: Column | str
     shared = met.groupBy("doc", "sig").agg(F.collect_set(F.struct("core", "at", "span", F.col("rows").cast("int").alias("rows"))).alias("anchors"))
     shared = cut_lineage(shared)  # read three times: for the hot keys, the filter and the join
     n_texts, n_anchors = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
-    some = _maybe_in(picked, shared.select("doc"), filter_bits(n_texts))
+    some = maybe_in(picked, shared.select("doc"), filter_bits(n_texts))
     rows = some.join(shared, ["doc", "sig"]).select("doc", "text", "anchors")
     windows = rows.mapInArrow(_SecondPass(least, _hot_keys(shared, max(hot_rows, n_anchors // HOT_SHARE))), SECOND_SCHEMA)
     sorted_windows = windows.repartition(parts, "key").sortWithinPartitions("key")

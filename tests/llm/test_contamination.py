@@ -106,3 +106,17 @@ def test_unplaced():
     assert contamination.without_spans("a" * 200, 200, spans, 0.5)[2] == "cut"
     assert contamination.without_spans("a" * 200, 199, spans, 0.5) == (None, None, "unplaced")
     assert contamination.without_spans("a" * 200, 200, [(0, 150)], 0.5)[2] == "covered"
+
+
+def test_many_automata_read_the_corpus_as_often_as_two(spark, tmp_path):
+    """The number of items multiplies neither scans nor branches; what one block would find is found, also by hot items and repeated documents."""
+    rnd = random.Random(6)
+    items = [(i, text(rnd, 70)) for i in range(1000)]
+    docs = [(d, text(rnd, 60) + (items[0][1] if d % 3 == 0 else items[rnd.randrange(1000)][1][: rnd.choice([49, 50, 70])])) for d in range(600)] + [(3, text(rnd, 9) + items[5][1])] * 40
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    d, i = spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.leaked_items(d, i, block_chars=2_000)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert {tuple(r) for r in got.collect()} == brute([(k, folded(t)) for k, t in docs], [(k, folded(t)) for k, t in items], 50)
+    one, many = (rows(contamination.leaking_documents(d, i, block_chars=n)) for n in (contamination.BLOCK_CHARS, 2_000))
+    assert one == many
