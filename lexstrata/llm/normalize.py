@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexstrata.session import cut_lineage
+
 # Ranges of characters without any visible form (Unicode's Default_Ignorable_Code_Point).
 INVISIBLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
@@ -128,7 +130,7 @@ def composing_points() -> frozenset[int]:
     return frozenset(out)
 
 
-def _quoted(text: str) -> str:
+def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
@@ -139,7 +141,7 @@ def form_sql(column: str) -> str:
     touched = {ord(c) for c in table} | invisible_points() | composing_points()
     source, target = "".join(table), "".join(table.values())
     hidden = f"regexp_replace({column}, '{_ranges(invisible_points())}+', '', 'g')"
-    return f"CASE WHEN regexp_matches({column}, '{_ranges(touched)}') THEN nfc_normalize(translate({hidden}, {_quoted(source)}, {_quoted(target)})) ELSE {column} END"
+    return f"CASE WHEN regexp_matches({column}, '{_ranges(touched)}') THEN nfc_normalize(translate({hidden}, {quoted(source)}, {quoted(target)})) ELSE {column} END"
 
 
 @cache
@@ -206,22 +208,34 @@ def normalize_text(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return with_sql(df, {new: form_sql(f'"{old}"') for old, new in columns.items()}, df.columns)
 
 
-def look_alike_pairs(rows: DataFrame, group: Column, row_id: str, text: str) -> DataFrame:
-    """(lo_id, hi_id): rows of one group whose texts have the same form but other characters; distinct, smaller id first.
+def look_alike_classes(rows: DataFrame, group: Column, row_id: str, text: str) -> DataFrame:
+    """(id, k, raw): the members of all classes of equal texts (raw) whose form (k: group and form) other texts of the group have too; distinct.
 
-    rows with a null text or id are left out; an id delivered repeatedly is one row for each of its texts. Groups
-    in which all characters agree are dropped by an aggregate combined map-side before anything is joined, and the
-    join is between classes of equal texts first: copies meet only the other classes' rows, as the result requires.
+    Rows with a null text or id are left out; an id delivered repeatedly is one row for each of its texts. Forms of which all
+    texts agree are dropped by an aggregate combined map-side before anything is joined.
     """
-    from lexstrata.session import cut_lineage
-
     picked = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).alias("id"), group.alias("grp"), F.col(text).alias("t"))
     hashed = with_sql(picked, {"raw": "md5(t)", "form": f"md5({form_sql('t')})"}, ["id", "grp"])
     hashed = cut_lineage(hashed.select("id", F.md5(F.concat_ws("\x1f", "grp", "form")).alias("k"), "raw"))
     mixed = hashed.groupBy("k").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("k")
-    mixed_rows = hashed.join(mixed, "k", "left_semi").distinct()
-    classes = mixed_rows.select("k", "raw").distinct()
-    other = classes.join(classes.withColumnRenamed("raw", "raw2"), "k").where("raw <> raw2")
-    left = mixed_rows.join(other, ["k", "raw"]).select("k", "raw2", F.col("id").alias("lo_id"))
-    right = mixed_rows.select("k", F.col("raw").alias("raw2"), F.col("id").alias("hi_id"))
+    return hashed.join(mixed, "k", "left_semi").distinct()
+
+
+def look_alike_members(classes: DataFrame) -> DataFrame:
+    """(id, class_id, n_links) of look_alike_classes: the least id with the same text and form, and how many rows of the
+    form have another text. One row a member and form, however many it looks like: what to use where copies are many."""
+    sizes = classes.groupBy("k", "raw").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("own"))
+    totals = sizes.groupBy("k").agg(F.sum("own").alias("all"))
+    return classes.join(sizes.join(totals, "k"), ["k", "raw"]).select("id", "class_id", (F.col("all") - F.col("own")).alias("n_links"))
+
+
+def look_alike_pairs(classes: DataFrame) -> DataFrame:
+    """(lo_id, hi_id) of look_alike_classes: rows that have the same form but other characters; distinct, smaller id first.
+
+    Classes are met with classes first: copies meet only the other classes' rows, as the result requires.
+    """
+    each = classes.select("k", "raw").distinct()
+    other = each.join(each.withColumnRenamed("raw", "raw2"), "k").where("raw <> raw2")
+    left = classes.join(other, ["k", "raw"]).select("k", "raw2", F.col("id").alias("lo_id"))
+    right = classes.select("k", F.col("raw").alias("raw2"), F.col("id").alias("hi_id"))
     return left.join(right, ["k", "raw2"]).where("lo_id < hi_id").select("lo_id", "hi_id").distinct()

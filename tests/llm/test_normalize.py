@@ -64,9 +64,18 @@ def test_normalize_text(spark):
         normalize.normalize_text(df, {"t": "form"})
 
 
-def test_pairs(spark):
+def test_pairs_and_members(spark):
     data = [(1, "g", "ＡＢ"), (2, "g", "AB"), (3, "g", "AB"), (3, "g", "AB"), (4, "g", "AC"), (5, "h", "ＡＢ"), (6, "g", None), (None, "g", "ＡＢ"), (7, None, "A​B"), (8, None, "AB"), (9, "g", "A​B")]
     df = spark.createDataFrame([(*r, "clash") for r in data], "id long, g string, t string, k string")
-    got = normalize.look_alike_pairs(df, F.coalesce("g", F.lit("-")), "id", "t")
-    assert rows(got) == [(1, 2), (1, 3), (1, 9), (2, 9), (3, 9), (7, 8)]
-    assert rows(normalize.look_alike_pairs(df.limit(0), F.col("g"), "id", "t")) == []
+    got = normalize.look_alike_classes(df, F.coalesce("g", F.lit("-")), "id", "t")
+    assert rows(normalize.look_alike_pairs(got)) == [(1, 2), (1, 3), (1, 9), (2, 9), (3, 9), (7, 8)]
+    assert rows(normalize.look_alike_members(got)) == [(1, 1, 3), (2, 2, 2), (3, 2, 2), (7, 7, 1), (8, 8, 1), (9, 9, 3)]
+    none = normalize.look_alike_classes(df.limit(0), F.col("g"), "id", "t")
+    assert rows(normalize.look_alike_pairs(none)) == rows(normalize.look_alike_members(none)) == []
+
+
+def test_many_copies_of_two_forms(spark):
+    """Members are as many as the rows, however many look alike."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "ＡＢ").otherwise("AB").alias("t"))
+    got = normalize.look_alike_members(normalize.look_alike_classes(df, F.lit("g"), "id", "t"))
+    assert rows(got.groupBy("class_id", "n_links").count()) == [(0, 10_000, 10_000), (1, 10_000, 10_000)]
