@@ -1,9 +1,9 @@
 """History of changing attributes: insert-only satellites and end dates in lead-based views.
 
-A hub key has satellites, one for each group of attributes that change at a like rate. A satellite row is
-(key, from, hash_diff, attributes); it is appended only when its hash_diff differs from the row before it, and
-nothing is ever updated. A version that ends before the next one begins appends a closing row (hash_diff null),
-so gaps survive. The end of a period exists only in the view: the next row's start.
+Attributes are split by how often they change; each group is a satellite of the hub key. A load appends to a satellite the versions
+whose hash_diff (over the group's attributes and the version's own end) differs from what counts so far for their
+key and start, and nothing else; nothing is ever updated. Which row of a start counts, the end of a period and the joining of
+periods that touch with equal attributes exist only in the view: the last loaded row of each start, the next row's start by lead.
 
 Of the versions of a key with one start the last loaded counts. That choice is an aggregate combined map-side, and
 afterwards a key has at most one row a day, so the ordered window over a key is of bounded size however often one
@@ -16,19 +16,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-CLOSED = None
+def first_deliveries(rows: DataFrame, keys: list[str], start: str, row_id: str, loaded: str, attributes: list[str]) -> DataFrame:
+    """(row_id, keys, start, loaded, attributes): each id once a key and start, as it was first delivered.
 
+    Rows without a start are left out; null key parts are keys.
+    """
+    delivered = rows.where(F.col(start).isNotNull()).groupBy(row_id, *keys, start).agg(F.min(loaded).alias("__loaded"), F.min_by(F.struct(*attributes), F.struct(loaded, *attributes)).alias("__row"))
+    return delivered.select(F.col(row_id).alias("row_id"), *keys, start, F.col("__loaded").alias("loaded"), "__row.*")
 
-def counting_versions(rows: DataFrame, keys: list[str], start: str, row_id: str, loaded: str, attributes: list[str]) -> DataFrame:
-    """One row a key and start: the row with the latest load time, then the largest id.
 
-    The load time of an id is its earliest delivery. Rows without a start are left out; null key parts are keys.
-    """
-    delivered = rows.where(F.col(start).isNotNull()).groupBy(row_id, *keys, start).agg(
-        F.min(loaded).alias("__loaded"), F.min_by(F.struct(*attributes), F.struct(loaded, *attributes)).alias("__row")
-    )
-    best = F.max_by("__row", F.struct("__loaded", row_id))
-    return delivered.groupBy(*keys, start).agg(best.alias("__row")).select(*keys, start, "__row.*")
+def counting(versions: DataFrame, keys: list[str], start: str) -> DataFrame:
+    """Of each key and start the row with the latest load time, then the largest id."""
+    others = [c for c in versions.columns if c not in (*keys, start)]
+    best = F.max_by(F.struct(*others), F.struct("loaded", "row_id"))
+    return versions.groupBy(*keys, start).agg(best.alias("__row")).select(*keys, start, "__row.*")
+
+
+def counting_versions(rows: DataFrame, keys: list[str], start: str, row_id: str, loaded: str, attributes: list[str]) -> DataFrame:
+    """One row a key and start: the row with the latest load time (its id's earliest delivery), then the largest id."""
+    return counting(first_deliveries(rows, keys, start, row_id, loaded, attributes), keys, start).select(*keys, start, *attributes)
 
 
 def hash_diff(attributes: list[str]) -> Column:
@@ -37,41 +43,45 @@ def hash_diff(attributes: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def satellite(versions: DataFrame, keys: list[str], start: str, end: str | None, watched: list[str], carried: list[str] = (), empty_ends: bool = False) -> DataFrame:
-    """Insert-only rows (keys, start, hash_diff, watched, carried) of one satellite.
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    return left.alias("l").join(right.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on], how)
+
+
+def new_deliveries(seen: DataFrame | None, deliveries: DataFrame, keys: list[str], start: str) -> DataFrame:
+    """Deliveries (first_deliveries of a load) of ids not seen in an earlier load; seen: (row_id, keys, start)."""
+    return deliveries if seen is None else _met(deliveries, seen, ["row_id", *keys, start], "left_anti")
+
+
+def satellite_rows(stored: DataFrame | None, deliveries: DataFrame, keys: list[str], start: str, attributes: list[str], carried: list[str]) -> DataFrame:
+    """Rows to append to a satellite: (keys, start, loaded, row_id, hash_diff, carried, attributes).
+
+    stored: the satellite so far, of earlier load times than all deliveries; None: empty. deliveries: the load's new ones
+    (new_deliveries). Of a load the counting row of each key and start is looked at; it is appended if there's none stored or if the
+    stored one that counts has another hash_diff (over carried and attributes). Nothing stored changes.
+    """
+    columns = [*keys, start, "loaded", "row_id", "hash_diff", *carried, *attributes]
+    rows = counting(deliveries, keys, start).withColumn("hash_diff", hash_diff([*carried, *attributes])).select(*columns)
+    if stored is None:
+        return rows
+    return _met(rows, counting(stored, keys, start).select(*keys, start, "hash_diff"), [*keys, start, "hash_diff"], "left_anti")
+
+
+def periods(sat: DataFrame, keys: list[str], start: str, end: str, watched: list[str], one_load: bool = False) -> DataFrame:
+    """The view over a satellite: (keys, start, end, and the other columns of the row that began the period).
 
-    versions: one row a key and start. end: the column of the version's own end (exclusive; null: open; at or before
-    the start: the version never held and is left out). carried: columns taken from the first row of a run.
-    empty_ends: whether a version that never held ends the one before it all the same.
+    A period runs from a counting row's start to the earlier of its own end (exclusive; null: open) and the next counting row's start; rows
+    whose own period is empty never held, but end the one before. Periods that touch and are equal in `watched` are one. one_load: the
+    satellite was filled at once, so it has but one row a key and start.
     """
     by_key = W.partitionBy(*keys).orderBy(start)
-    nxt = F.lead(start).over(by_key)
-    own = versions.withColumn("__stop", F.col(end) if end else F.lit(None).cast("date"))
-    if end:
-        own = own.withColumn("__stop", F.least("__stop", nxt)) if empty_ends else own
-        own = own.where(F.col(end).isNull() | (F.col(end) > F.col(start)))
-    own = own.withColumn("__next", nxt).withColumn("hash_diff", hash_diff(watched))
-    gap = F.col("__stop").isNotNull() & (F.col("__next").isNull() | (F.col("__stop") < F.col("__next")))
-    blank = F.struct(F.col("__stop").alias("at"), F.lit(CLOSED).cast("string").alias("hash_diff"), *[F.lit(None).cast(versions.schema[c].dataType).alias(c) for c in [*watched, *carried]])
-    real = F.struct(F.col(start).alias("at"), F.col("hash_diff"), *[F.col(c) for c in [*watched, *carried]])
-    events = own.select(*keys, F.explode(F.when(gap, F.array(real, blank)).otherwise(F.array(real))).alias("e")).select(*keys, F.col("e.at").alias(start), "e.hash_diff", *[f"e.{c}" for c in [*watched, *carried]])
-    before = F.lag(F.struct("hash_diff")).over(by_key)
-    fresh = before.isNull() | ~before["hash_diff"].eqNullSafe(F.col("hash_diff"))
-    return events.withColumn("__fresh", fresh).where("__fresh").drop("__fresh")
-
-
-def periods(sat: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """The view: each row's end is the next row's start; closing rows only end the row before them."""
-    return sat.withColumn(end, F.lead(start).over(W.partitionBy(*keys).orderBy(start))).where(F.col("hash_diff").isNotNull())
-
-
-def append_rows(stored: DataFrame, incoming: DataFrame, keys: list[str], start: str) -> DataFrame:
-    """Rows of `incoming` (a satellite of a later load) to append behind `stored`: those whose hash_diff differs from the row before them, stored or incoming. Nothing stored changes."""
-    rows = stored.withColumn("__old", F.lit(True)).unionByName(incoming.withColumn("__old", F.lit(False)), allowMissingColumns=True)
-    by_key = W.partitionBy(*keys).orderBy(start, F.desc("__old"))
-    before = F.lag(F.struct("hash_diff")).over(by_key)
-    fresh = before.isNull() | ~before["hash_diff"].eqNullSafe(F.col("hash_diff"))
-    return rows.withColumn("__fresh", fresh).where(F.col("__fresh") & ~F.col("__old")).drop("__fresh", "__old")
+    rows = sat if one_load else counting(sat, keys, start)
+    held = rows.withColumn(end, F.least(end, F.lead(start).over(by_key))).where(F.col(end).isNull() | (F.col(end) > F.col(start)))
+    held = held.withColumn("__watched", F.struct(*watched))
+    held = held.withColumn("__was", F.lag(F.struct(F.col(end).alias("e"), F.col("__watched").alias("w"))).over(by_key))
+    held = held.withColumn("__last", F.max(F.struct(F.col(start).alias("s"), F.col(end).alias("e"))).over(W.partitionBy(*keys).orderBy(start).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    fresh = held.where(F.col("__was").isNull() | ~(F.col("__was.e").eqNullSafe(F.col(start)) & F.col("__was.w").eqNullSafe(F.col("__watched"))))
+    stop = F.when(F.lead(F.lit(1)).over(by_key).isNull(), F.col("__last.e")).otherwise(F.lead("__was.e").over(by_key))
+    return fresh.withColumn(end, stop).drop("__watched", "__was", "__last")
 
 
 def change_rates(versions: DataFrame, keys: list[str], start: str, attributes: list[str]) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import digits_of, is_blank, trim_any
 from lexstrata.operators import changefeed, history, orphans, snapdiff, variants
-from lexstrata.session import checkpoint_dir, table
+from lexstrata.session import scratch_path, table, written
 from lexstrata.streaming import sync
 
 # --- 2: references to records that do not exist
@@ -118,30 +115,87 @@ FROM d JOIN days ON days.src = d.src AND days.no = d.no WHERE d.no > 1 AND chang
 ARTICLE_KEY = ["law_id", "article_no", "paragraph_no"]
 
 
+WATCHED = ["content_hash", "title"]
+CARRIED = ["valid_to", "version_mst"]
+
+
+def live_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "law_articles").where(F.col("deleted_at").isNull()).withColumn("paragraph_no", F.coalesce("paragraph_no", F.lit(0)))
+
+
+def live_deliveries(rows: DataFrame) -> DataFrame:
+    return history.first_deliveries(rows, ARTICLE_KEY, "valid_from", "id", "loaded_at", [*CARRIED, *WATCHED])
+
+
 def live_versions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "law_articles").where(F.col("deleted_at").isNull()).withColumn("paragraph_no", F.coalesce("paragraph_no", F.lit(0)))
-    return history.counting_versions(rows, ARTICLE_KEY, "valid_from", "id", "loaded_at", ["valid_to", "content_hash", "version_mst", "title"])
+    return history.counting(live_deliveries(live_rows(spark, d)), ARTICLE_KEY, "valid_from")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    text = history.satellite(live_versions(spark, d), ARTICLE_KEY, "valid_from", "valid_to", ["content_hash"], ["version_mst"], empty_ends=True)
-    view = history.periods(text, ARTICLE_KEY, "valid_from", "valid_to")
+def satellites(versions: DataFrame) -> list[list[str]]:
+    """The attributes of each satellite, split by how often they change from one version to the next."""
+    rates = history.change_rates(versions, ARTICLE_KEY, "valid_from", WATCHED)
+    return [g for g in history.split_by_rate(rates).values() if g]
+
+
+def attribute_periods(spark: SparkSession, d: str, attribute: str) -> DataFrame:
+    """All versions loaded at once into the satellite that has the attribute, and its periods."""
+    (group,) = [g for g in satellites(live_versions(spark, d)) if attribute in g]
+    sat = history.satellite_rows(None, live_deliveries(live_rows(spark, d)), ARTICLE_KEY, "valid_from", group, CARRIED)
+    return history.periods(sat, ARTICLE_KEY, "valid_from", "valid_to", [attribute], one_load=True)
+
+
+def _dated(view: DataFrame) -> DataFrame:
     day = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
     return view.select(*ARTICLE_KEY, "version_mst", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _dated(attribute_periods(spark, d, "content_hash"))
+
+
 def p5_titles(spark: SparkSession, d: str) -> DataFrame:
     """The slowly changing satellite: the periods of each article's title."""
-    sat = history.satellite(live_versions(spark, d), ARTICLE_KEY, "valid_from", "valid_to", ["title"], empty_ends=True)
-    return history.periods(sat, ARTICLE_KEY, "valid_from", "valid_to").select(*ARTICLE_KEY, "title", "valid_from", "valid_to")
+    return attribute_periods(spark, d, "title").select(*ARTICLE_KEY, "title", "valid_from", "valid_to")
+
+
+def p5_loads(spark: SparkSession, d: str, cuts: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(satellite of the content, what was appended by each load): the rows in several loads by load time, each appending to what the earlier ones left.
+
+    cuts: times between the loads; by default two that divide the time from first to last in three.
+    """
+    rows = live_rows(spark, d)
+    lo, hi = (rows.agg(F.unix_micros(f(F.col("loaded_at").cast("timestamp")))).scalar() for f in (F.min, F.max))
+    cuts = [F.timestamp_micros((lo + (hi - lo) * k / 3).cast("long")).cast("timestamp_ntz") for k in (1, 2)] if cuts is None else cuts
+    bounds = [None, *cuts, None]
+    (group,) = [g for g in satellites(live_versions(spark, d)) if "content_hash" in g]
+    sat = seen = loads = None
+    for no, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        load = rows if a is None else rows.where(F.col("loaded_at") >= a)
+        load = load if b is None else load.where(F.coalesce(F.col("loaded_at") < b, F.lit(True)) if a is None else F.col("loaded_at") < b)
+        fresh = history.new_deliveries(seen, live_deliveries(load), ARTICLE_KEY, "valid_from")
+        more = written(history.satellite_rows(sat, fresh, ARTICLE_KEY, "valid_from", group, CARRIED))
+        ids = written(fresh.select("row_id", *ARTICLE_KEY, "valid_from"))
+        counts = more.agg(F.lit(no).alias("load_no"), F.count(F.lit(1)).alias("n_appended"))
+        sat, seen, loads = (new if old is None else old.unionByName(new) for old, new in ((sat, more), (seen, ids), (loads, counts)))
+    return sat, loads
+
+
+def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The history built by three loads that only append: what p5_found gives at once."""
+    return _dated(history.periods(p5_loads(spark, d)[0], ARTICLE_KEY, "valid_from", "valid_to", ["content_hash"]))
+
+
+def p5_appended(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each of the three loads appended."""
+    return p5_loads(spark, d)[1]
 
 
 _P5 = """
 WITH live AS (SELECT *, coalesce(paragraph_no, 0) AS para FROM law_articles WHERE deleted_at IS NULL AND valid_from IS NOT NULL),
 one AS (SELECT *, min(loaded_at) OVER (PARTITION BY id) AS first_loaded FROM live),
 best AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY law_id, article_no, para, valid_from ORDER BY first_loaded DESC, id DESC) = 1),
-held AS (SELECT * FROM best WHERE valid_to IS NULL OR valid_to > valid_from),
-per AS (SELECT *, least(valid_to, lead(valid_from) OVER w) AS ends FROM held WINDOW w AS (PARTITION BY law_id, article_no, para ORDER BY valid_from)),
+ended AS (SELECT *, least(valid_to, lead(valid_from) OVER w) AS ends FROM best WINDOW w AS (PARTITION BY law_id, article_no, para ORDER BY valid_from)),
+per AS (SELECT * FROM ended WHERE ends IS NULL OR ends > valid_from),
 mark AS (SELECT *, CASE WHEN lag(ends) OVER w = valid_from AND lag({v}) OVER w IS NOT DISTINCT FROM {v} THEN 0 ELSE 1 END AS fresh FROM per WINDOW w AS (PARTITION BY law_id, article_no, para ORDER BY valid_from)),
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY law_id, article_no, para ORDER BY valid_from) AS run FROM mark)
 """
@@ -162,6 +216,17 @@ FROM runs GROUP BY law_id, article_no, para, run
 """
 )
 
+_P5_LIVE = "SELECT *, coalesce(paragraph_no, 0) AS para FROM law_articles WHERE deleted_at IS NULL AND valid_from IS NOT NULL"
+# A load appends the last loaded row of each start unless it equals the last of the loads before.
+P5_APPENDED_SQL = f"""
+WITH live AS ({_P5_LIVE}), t AS (SELECT epoch_us(min(loaded_at)) AS lo, epoch_us(max(loaded_at)) AS hi FROM live),
+one AS (SELECT id, law_id, article_no, para, valid_from, min(loaded_at) AS loaded, arg_min({{'to': valid_to, 'mst': version_mst, 'hash': content_hash}}, loaded_at) AS v, any_value(title) AS title FROM live GROUP BY ALL),
+nth AS (SELECT one.*, CASE WHEN epoch_us(loaded) < (lo + (hi - lo) / 3)::BIGINT THEN 0 WHEN epoch_us(loaded) < (lo + (hi - lo) * 2 / 3)::BIGINT THEN 1 ELSE 2 END AS load_no FROM one, t),
+last AS (SELECT load_no, law_id, article_no, para, valid_from, arg_max(v, {{'a': loaded, 'b': id}}) AS v FROM nth GROUP BY ALL),
+diff AS (SELECT load_no, v IS DISTINCT FROM lag(v) OVER w OR lag(load_no) OVER w IS NULL AS fresh FROM last WINDOW w AS (PARTITION BY law_id, article_no, para, valid_from ORDER BY load_no))
+SELECT n::INT AS load_no, count(*) FILTER (fresh) AS n_appended FROM (SELECT unnest([0, 1, 2]) AS n) LEFT JOIN diff ON load_no = n GROUP BY n
+"""
+
 # --- 6: applying a stream of inserts, updates and deletes
 
 
@@ -226,19 +291,21 @@ UNION ALL SELECT DISTINCT body_id, '목', jo_pos::INT, hang_pos::INT, ho_pos::IN
 
 def change_feed_stream(spark: SparkSession, d: str) -> DataFrame:
     """Problem 6 as a stream: the feed's files through the incremental job into a published state, and what exists in it."""
-    root = os.path.join(checkpoint_dir(spark), f"feed-{uuid.uuid4().hex}")
+    root = scratch_path(spark, "feed")
     schema = table(spark, d, "ls_hst_inf").schema
     sync.apply_feed(spark, f"{d}/ls_hst_inf.parquet*", schema, f"{root}/state", f"{root}/progress", feed_parts).awaitTermination()
     return changefeed.current_rows(changefeed.read_published(spark, f"{root}/state"), ["law_id", "mst"], ["enforcement_date", "revision_type"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p5_found, p5_titles, p6_found, p7_found, p7_nodes, change_feed_stream)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p5_found, p5_titles, p5_incremental, p5_appended, p6_found, p7_found, p7_nodes, change_feed_stream)}
 SQL = {
     "p2_found": P2_SQL,
     "p2_report": f"SELECT ref_name, period, kind, count(*) AS n_rows FROM ({P2_SQL}) GROUP BY ALL",
     "p4_found": P4_SQL,
     "p5_found": P5_SQL,
     "p5_titles": P5_TITLES_SQL,
+    "p5_incremental": P5_SQL,
+    "p5_appended": P5_APPENDED_SQL,
     "p6_found": P6_SQL,
     "change_feed_stream": P6_SQL,
     "p7_found": P7_SQL,
