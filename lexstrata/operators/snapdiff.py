@@ -7,7 +7,7 @@ offsets where that is smaller), and a vector of value codes in ordinal order. Pe
   removed = previous AND NOT next,
   changed = ordinals in previous AND next at which the aligned vectors differ.
 Ordinals are kept between runs by passing what key_ordinals returned (and was written) as `known`: old keys keep
-theirs, new keys get the numbers behind them.
+theirs, new keys get the numbers behind them. Known ordinals come to their bucket by themselves and are met with its rows there.
 
 One shuffle thins repeated deliveries (combined map-side, so a key delivered a billion times is one row a
 snapshot), a second groups by bucket; the number of buckets follows the rows, so a bucket is of bounded size.
@@ -82,16 +82,38 @@ def _bits(container: np.ndarray | None) -> np.ndarray:
     return np.packbits(flags, bitorder="little")
 
 
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+
+
+ORDINAL_SCHEMA = "key string, bucket int, ordinal long"
+
+
+def _numbered(keys: pa.Array, known_keys: pa.Array, known_ordinals: np.ndarray) -> np.ndarray:
+    """The ordinals of distinct, sorted keys: the known ones, and for the others the numbers behind the largest of them."""
+    at = pc.index_in(keys, value_set=known_keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.where(at >= 0, known_ordinals[at] if len(known_ordinals) else -1, -1)
+    new = out < 0
+    out[new] = (int(known_ordinals.max()) if len(known_ordinals) else -1) + 1 + np.arange(new.sum())
+    return out
+
+
+def _distinct(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    return table["key"].combine_chunks(), table["ordinal"].to_numpy().astype(np.int64)
+
+
+def _number_bucket(rows: pa.Table, known: pa.Table) -> pa.Table:
+    known_keys, ordinals = _distinct(known)
+    keys = pc.unique(pa.chunked_array([*rows["key"].chunks, known_keys], pa.string())).sort()
+    bucket = (rows if rows.num_rows else known)["bucket"][0].as_py()
+    return pa.table({"key": keys, "bucket": pa.array([bucket] * len(keys), pa.int32()), "ordinal": _numbered(keys, known_keys, ordinals)})
+
+
 def key_ordinals(keys: DataFrame, buckets: int, known: DataFrame | None = None) -> DataFrame:
-    """(key, bucket, ordinal) of every distinct non-null key; keys of `known` keep their ordinals."""
-    keys = keys.select("key").where(F.col("key").isNotNull()).distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    place = F.row_number().over(W.partitionBy("bucket").orderBy("key"))
-    if known is None:
-        return keys.select("key", "bucket", (place - 1).cast("long").alias("ordinal"))
-    known = known.select("key", "bucket", "ordinal")
-    last = known.groupBy("bucket").agg(F.max("ordinal").alias("last"))
-    new = keys.join(known.select("key"), "key", "left_anti").join(last, "bucket", "left")
-    return known.unionByName(new.select("key", "bucket", (F.coalesce("last", F.lit(-1)) + place).cast("long").alias("ordinal")))
+    """(key, bucket, ordinal) of every distinct non-null key; keys of `known`, of as many buckets, keep their ordinals, also those that keys lacks."""
+    keys = keys.select("key").where(F.col("key").isNotNull()).distinct().withColumn("bucket", bucket_of(buckets))
+    known = keys.sparkSession.createDataFrame([], ORDINAL_SCHEMA) if known is None else known.select("key", "bucket", "ordinal")
+    return keys.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_number_bucket, ORDINAL_SCHEMA)
 
 
 def latest_rows(rows: DataFrame, key: Column, day: str, value: Column, order: Column, ties: list[Column] = ()) -> DataFrame:
@@ -111,19 +133,18 @@ def _changes(decode, next_day, before: tuple[OrdinalSet, pa.Array], after: tuple
             yield decode(ordinals), next_day, name
 
 
-def _diff_bucket(data: pa.Table) -> pa.Table:
-    """All snapshots of one bucket: columns key, value, day, no (of the snapshot), next_day, ordinal (or null)."""
+def _diff_bucket(data: pa.Table, known: pa.Table) -> pa.Table:
+    """All snapshots of one bucket: columns key, value, day, no (of the snapshot), next_day; known: the ordinals of keys."""
+    if not data.num_rows:
+        return pa.table({"rec_key": pa.array([], pa.string()), "snapshot_date": pa.array([], pa.date32()), "change": pa.array([], pa.string())})
     data = data.combine_chunks()
-    value = data["value"].combine_chunks() if data.num_rows else pa.array([], pa.string())
-    given = data["ordinal"]
-    if given.null_count == data.num_rows:
-        keys = pc.unique(data["key"]).sort()
-        members = np.arange(len(keys))
-        ordinal = pc.index_in(data["key"], value_set=keys).to_numpy().astype(np.int64)
-    else:
-        ordinal = given.to_numpy()
-        members, first = np.unique(ordinal, return_index=True)
-        keys = data["key"].combine_chunks().take(pa.array(first))
+    value = data["value"].combine_chunks()
+    known_keys, ordinals = _distinct(known)
+    keys = pc.unique(data["key"]).sort()
+    numbers = _numbered(keys, known_keys, ordinals)
+    ordinal = numbers[pc.index_in(data["key"], value_set=keys).to_numpy()]
+    order = np.argsort(numbers)
+    members, keys = numbers[order], keys.take(pa.array(order))
     number, days = data["no"].to_numpy(), data["next_day"]
     own = data["day"]
     snaps, day_of, next_of = {}, {}, {}
@@ -160,18 +181,16 @@ def snapshot_changes(rows: DataFrame, all_days: DataFrame, buckets: int, known:
 
     rows: (key STRING, day DATE, value STRING), one row a key and day, as of latest_rows. all_days: (day), the days
     of all snapshots, also of those that hold none of the rows; repeated and null days count once or not at all.
-    The first snapshot gives nothing; a null value equals null only; empty tables give an empty result.
+    The first snapshot gives nothing; a null value equals null only; empty tables give an empty result. known: ordinals
+    of key_ordinals, of as many buckets; keys that it lacks are numbered behind them.
     """
     order = W.orderBy("day")
     days = all_days.select("day").where(F.col("day").isNotNull()).distinct()
     days = days.select("day", F.row_number().over(order).alias("no"), F.lead("day").over(order).alias("next_day"))
     # A join by day would gather each snapshot in one task; a DATE has a bounded number of values, deliveries far fewer.
-    rows = rows.select("key", "day", "value").join(F.broadcast(days), "day")
-    if known is None:
-        rows = rows.withColumn("ordinal", F.lit(None).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    else:
-        rows = rows.join(key_ordinals(rows, buckets, known), "key")
-    return rows.groupBy("bucket").applyInArrow(_diff_bucket, DIFF_SCHEMA)
+    rows = rows.select("key", "day", "value").join(F.broadcast(days), "day").withColumn("bucket", bucket_of(buckets))
+    known = rows.sparkSession.createDataFrame([], ORDINAL_SCHEMA) if known is None else known.select("key", "bucket", "ordinal")
+    return rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_diff_bucket, DIFF_SCHEMA)
 
 
 def bucket_count(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> int:

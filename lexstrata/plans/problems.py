@@ -86,15 +86,56 @@ def article_rows(spark: SparkSession, d: str) -> DataFrame:
     return snapdiff.latest_rows(table(spark, d, "article_snapshots"), key, "snapshot_date", F.col("content_hash"), F.col("loaded_at"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+P4_TABLES = (("hs_node_snapshots", hs_rows), ("article_snapshots", article_rows))
+
+
+def _diffs(spark: SparkSession, d: str, known) -> DataFrame:
+    """known: (rows, days, buckets) to key ordinals."""
     parts = []
-    for name, rows in (("hs_node_snapshots", hs_rows), ("article_snapshots", article_rows)):
-        days = table(spark, d, name).select(F.col("snapshot_date").alias("day"))
-        diff = snapdiff.snapshot_changes(rows(spark, d), days, snapdiff.bucket_count(table(spark, d, name)))
+    for name, rows in P4_TABLES:
+        days, buckets = table(spark, d, name).select(F.col("snapshot_date").alias("day")), snapdiff.bucket_count(table(spark, d, name))
+        latest = rows(spark, d)
+        diff = snapdiff.snapshot_changes(latest, days, buckets, known(latest, days, buckets))
         parts.append(diff.select(F.lit(name).alias("src"), F.date_format("snapshot_date", "yyyy-MM-dd").alias("snapshot_date"), "rec_key", "change"))
     return parts[0].unionByName(parts[1])
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """A first run: no ordinals are known yet, each bucket numbers its own keys."""
+    return _diffs(spark, d, lambda rows, days, buckets: None)
+
+
+def _snapshots_before(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of the earlier half of the snapshots, by the middle of the time between the first and the last."""
+    middle = days.agg(F.date_add(F.min("day"), (F.date_diff(F.max("day"), F.min("day")) / 2).cast("int"))).scalar()
+    return rows.where(F.col("day") <= middle)
+
+
+def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """A later run: the ordinals that the first snapshots gave are written, extended by the new keys, written, and used."""
+
+    def known(rows: DataFrame, days: DataFrame, buckets: int) -> DataFrame:
+        first = written(snapdiff.key_ordinals(_snapshots_before(rows, days), buckets), "ordinals")
+        return written(snapdiff.key_ordinals(rows, buckets, first), "ordinals")
+
+    return _diffs(spark, d, known)
+
+
+def p4_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of persistent ordinals: keys, keys that a later run numbered anew or twice, ordinals beyond the number of a bucket's keys."""
+    parts = []
+    for name, rows in P4_TABLES:
+        days, buckets = table(spark, d, name).select(F.col("snapshot_date").alias("day")), snapdiff.bucket_count(table(spark, d, name))
+        latest = rows(spark, d)
+        first = written(snapdiff.key_ordinals(_snapshots_before(latest, days), buckets), "ordinals")
+        then = written(snapdiff.key_ordinals(latest, buckets, first), "ordinals")
+        moved = first.join(then, ["key", "bucket", "ordinal"], "left_anti").agg(F.count(F.lit(1)).alias("n_moved"))
+        sizes = then.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ordinal").alias("d"), F.max("ordinal").alias("m"))
+        sizes = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_keys"), F.coalesce(F.sum(F.col("n") - F.col("d")), F.lit(0)).alias("n_twice"), F.coalesce(F.sum(F.col("m") + 1 - F.col("n")), F.lit(0)).alias("n_spare"))
+        parts.append(sizes.select(F.lit(name).alias("src"), "*", moved.scalar().alias("n_moved")))
+    return parts[0].unionByName(parts[1])
+
+
 P4_SQL = rf"""
 WITH r AS (
   SELECT 'hs_node_snapshots' AS src, snapshot_date AS day, {_DIGITS.format(c="code")} AS k, name_ko AS v, loaded_at, row_id AS tie FROM hs_node_snapshots
@@ -110,6 +151,11 @@ SELECT d.src, strftime(days.day, '%Y-%m-%d') AS snapshot_date, k AS rec_key, cha
 FROM d JOIN days ON days.src = d.src AND days.no = d.no WHERE d.no > 1 AND change IS NOT NULL
 """
 
+P4_ORDINALS_SQL = f"""
+SELECT 'hs_node_snapshots' AS src, count(DISTINCT {_DIGITS.format(c="code")}) AS n_keys, 0::BIGINT AS n_twice, 0::BIGINT AS n_spare, 0::BIGINT AS n_moved FROM hs_node_snapshots WHERE snapshot_date IS NOT NULL
+UNION ALL SELECT 'article_snapshots', count(DISTINCT coalesce(law_id, '0') || ':' || coalesce(article_no, 0) || ':' || coalesce(paragraph_no, 0)), 0, 0, 0 FROM article_snapshots WHERE snapshot_date IS NOT NULL
+"""
+
 # --- 5: history of changing attributes
 
 ARTICLE_KEY = ["law_id", "article_no", "paragraph_no"]
@@ -297,11 +343,13 @@ def change_feed_stream(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.current_rows(changefeed.read_published(spark, f"{root}/state"), ["law_id", "mst"], ["enforcement_date", "revision_type"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p5_found, p5_titles, p5_incremental, p5_appended, p6_found, p7_found, p7_nodes, change_feed_stream)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_incremental, p4_ordinals, p5_found, p5_titles, p5_incremental, p5_appended, p6_found, p7_found, p7_nodes, change_feed_stream)}
 SQL = {
     "p2_found": P2_SQL,
     "p2_report": f"SELECT ref_name, period, kind, count(*) AS n_rows FROM ({P2_SQL}) GROUP BY ALL",
     "p4_found": P4_SQL,
+    "p4_incremental": P4_SQL,
+    "p4_ordinals": P4_ORDINALS_SQL,
     "p5_found": P5_SQL,
     "p5_titles": P5_TITLES_SQL,
     "p5_incremental": P5_SQL,
