@@ -29,13 +29,8 @@ def body_meta(bodies: DataFrame, body_id: str = "body_id", body: str = "body") -
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    root = variants.load_body(text or "")
-                except ValueError:
-                    continue
-                law = root.fields.get("법령") if isinstance(root, variants.Shape) else None
-                facts = law.fields.get("기본정보") if isinstance(law, variants.Shape) else None
-                if isinstance(facts, variants.Shape):
+                facts = _facts(variants.readable(text))
+                if facts is not None:
                     rows.append((i, *(variants.plain_text(facts.fields.get(n)) for n in META_FIELDS)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -48,20 +43,55 @@ def body_meta(bodies: DataFrame, body_id: str = "body_id", body: str = "body") -
     )
 
 
-def assembled_units(nodes: DataFrame) -> DataFrame:
-    """(record_id, jo_pos, hang_pos or 0, text): each unit's and each paragraph's lines in order, indented by level, empty ones left out.
+UNIT_SCHEMA = "record_id long, law_id string, law_name string, enforcement_text string, jo_pos int, label_no string, branch_no string, flag string, title string, text string, paragraphs array<struct<hang_pos int, text string>>"
 
-    A unit's own text is its first line. Rows of nested_nodes; repeated records should be dropped before.
+
+def _facts(root) -> variants.Shape | None:
+    law = root.fields.get("법령") if isinstance(root, variants.Shape) else None
+    facts = law.fields.get("기본정보") if isinstance(law, variants.Shape) else None
+    return facts if isinstance(facts, variants.Shape) else None
+
+
+def _unit_rows(batches):
+    """(record_id, body) to one row a unit: the body's facts, the unit's fields, its lines and those of each of its paragraphs that has any."""
+    import pyarrow as pa
+
+    text = pa.string()
+    parts = pa.list_(pa.struct([("hang_pos", pa.int32()), ("text", text)]))
+    schema = pa.schema([("record_id", pa.int64()), ("law_id", text), ("law_name", text), ("enforcement_text", text), ("jo_pos", pa.int32()), ("label_no", text), ("branch_no", text), ("flag", text), ("title", text), ("text", text), ("paragraphs", parts)])
+    plain = variants.plain_text
+    for batch in batches:
+        rows = []
+        for record, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            root = variants.readable(body.as_py())
+            facts = _facts(root)
+            if facts is None:
+                continue
+            basic = [plain(facts.fields.get(n)) for n in META_FIELDS[:3]]
+            units: dict[int, tuple] = {}
+            for level, at, shape in sorted(variants.walk_root(root), key=lambda x: x[1]):
+                if level == 0:
+                    own = (plain(shape.fields.get(f)) for f in (variants.LEVEL_FIELDS[variants.LEVELS[0]][1], variants.BRANCH, variants.UNIT_FLAG, variants.UNIT_TITLE))
+                    units[at[0]] = (*own, [], {})
+                label = variants.LEVELS[level]
+                if line := plain(shape.fields.get(variants.LEVEL_FIELDS[label][0])):
+                    *_, whole, paragraphs = units[at[0]]
+                    whole.append(INDENTS.get(label, "") + line)
+                    if level:
+                        paragraphs.setdefault(at[1], []).append(whole[-1])
+            for place, (*own, whole, paragraphs) in units.items():
+                rows.append((record, *basic, place, *own, "\n".join(whole) or None, [{"hang_pos": k, "text": "\n".join(v)} for k, v in paragraphs.items()]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def assembled_units(bodies: DataFrame, body_id: str = "body_id", body: str = "body") -> DataFrame:
+    """One row a unit of every readable body with its text: each line of the unit and of what is below it in order, indented by level, empty ones left out.
+
+    A unit's own text is its first line. paragraphs: the lines of each paragraph that has any, by its place. A body is parsed once and nothing is
+    shuffled; repeated bodies should be dropped before.
     """
-    indent = F.lit("")
-    for level, blanks in INDENTS.items():
-        indent = F.when(F.col("node_level") == level, F.lit(blanks)).otherwise(indent)
-    lines = nodes.where(F.coalesce("text", F.lit("")) != "").select("record_id", *variants.PLACES, F.concat(indent, F.col("text")).alias("line"))
-    # Order within a unit comes with the row: one sort of an array of bounded size, a single article's lines.
-    entry = F.struct("hang_pos", "ho_pos", "mok_pos", "line")
-    whole = lines.groupBy("record_id", "jo_pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["line"]), "\n").alias("text"))
-    part = lines.where("hang_pos > 0").groupBy("record_id", "jo_pos", "hang_pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["line"]), "\n").alias("text"))
-    return whole.select("record_id", "jo_pos", F.lit(0).alias("hang_pos"), "text").unionByName(part)
+    return bodies.select(F.col(body_id).cast("long"), F.col(body).cast("string")).mapInArrow(_unit_rows, UNIT_SCHEMA)
 
 
 def article_chunks(bodies: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
@@ -71,21 +101,18 @@ def article_chunks(bodies: DataFrame, split_at: int = SPLIT_AT) -> DataFrame:
     text are dropped; a paragraph keeps its place as its number, so numbers may have gaps; the unit's own first line is in no
     paragraph's chunk. A long unit without paragraphs stays whole.
     """
-    once = bodies.dropDuplicates(["body_id", "body"])
-    nodes = variants.nested_nodes(once, "body_id", "body")
-    meta = body_meta(once)
-    units = nodes.where((F.col("node_level") == "조문단위") & (F.coalesce("flag", F.lit("")).isin("", "조문")))
-    facts = units.select("record_id", "jo_pos", "title", "label_no", "branch_no").join(meta.withColumnRenamed("body_id", "record_id"), "record_id")
-    texts = assembled_units(nodes).join(facts, ["record_id", "jo_pos"])
+    units = assembled_units(bodies.dropDuplicates(["body_id", "body"]))
+    units = units.where(F.coalesce("flag", F.lit("")).isin("", "조문") & F.col("text").isNotNull())
     head = heading(F.col("law_name"), article_label("label_no", "branch_no"), F.col("title"))
-    full = texts.withColumn("content", F.concat(head, F.lit("\n"), F.col("text")))
-    long_units = full.where((F.col("hang_pos") == 0) & (F.length("content") > split_at)).select("record_id", "jo_pos")
-    parents = full.where((F.col("hang_pos") > 0)).join(long_units, ["record_id", "jo_pos"], "left_semi")
-    whole = full.where("hang_pos = 0").join(parents.select("record_id", "jo_pos").distinct().withColumn("is_parent", F.lit(True)), ["record_id", "jo_pos"], "left")
-    chunks = whole.withColumn("is_parent", F.coalesce("is_parent", F.lit(False))).unionByName(parents.withColumn("is_parent", F.lit(False)))
-    return chunks.select(
-        "record_id", "law_id", article_code("label_no", "branch_no").alias("article_no"), F.nullif("hang_pos", F.lit(0)).cast(T.IntegerType()).alias("paragraph_no"),
-        "is_parent", "title", "content", content_hash("content").alias("content_hash"), F.col("enforcement_date").alias("valid_from"),
+    content = lambda t: F.concat(head, F.lit("\n"), t)
+    cut = (F.length(content(F.col("text"))) > split_at) & (F.size("paragraphs") > 0)
+    whole = F.struct(F.lit(0).alias("hang_pos"), F.col("text").alias("text"))
+    parts = F.when(cut, F.concat(F.array(whole), F.col("paragraphs"))).otherwise(F.array(whole))
+    rows = units.withColumn("is_cut", F.coalesce(cut, F.lit(False))).withColumn("part", F.explode(parts)).withColumn("content", content(F.col("part.text")))
+    return rows.select(
+        "record_id", "law_id", article_code("label_no", "branch_no").alias("article_no"), F.nullif("part.hang_pos", F.lit(0)).cast(T.IntegerType()).alias("paragraph_no"),
+        (F.col("is_cut") & (F.col("part.hang_pos") == 0)).alias("is_parent"), "title", "content", content_hash("content").alias("content_hash"),
+        lenient_date(F.regexp_replace("enforcement_text", r"(?U)\s+", "")).alias("valid_from"),
     )
 
 

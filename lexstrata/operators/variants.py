@@ -3,11 +3,12 @@
 A bottom-up tree automaton runs while the JSON text is parsed: every object is left as soon as its fields are
 known, and its state is computed from its labels and the states of what they hold. States are canonical
 strings, hence the same in every task: 't' a text, 'T' a list of texts, '-' nothing (null, absent, empty), '{..}' an
-object with the states of its fields, '[..]' a list with the distinct states in it.
+object with the states of its fields, '[..]' a list with the distinct states in it. Beside its state an object keeps
+that state's first layer, what kind of thing each of its fields holds, and by this it is routed to its level's subtype.
 
 From the root the levels of interest are then walked top-down. Every object on a level becomes a row with the
-supertype's keys (record, level, own and ancestors' places, parent's node id), its variant (the level's subtype to which
-its state belongs) and its texts. typed_tables() routes the rows to one table per level and subtype.
+supertype's keys (record, level, own and ancestors' places, parent's node id), its subtype and its texts.
+write_typed() routes the rows of one parse to one table per level and subtype.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The levels of a law body, from the outermost, and each level's text and number fields.
 LEVELS = ("조문단위", "항", "호", "목")
@@ -69,10 +71,20 @@ def plain_text(value) -> str | None:
 
 @dataclass(slots=True)
 class Shape:
-    """An object in the automaton: its cleaned fields and its state."""
+    """An object in the automaton: its cleaned fields, its state, and that state's first layer {label: kind}."""
 
     fields: dict
     state: str
+    layer: dict
+
+
+def kind_of(value, state: str) -> str:
+    """A field's kind by its state: '-' nothing, 't' a text, 'o' an object, 'T' a list of texts, 'm' a list in which objects are, 'l' another list."""
+    if state in ("-", "t", "T"):
+        return state
+    if isinstance(value, Shape):
+        return "o"
+    return "m" if any(isinstance(x, Shape) for x in value) else "l"
 
 
 def state_of(value) -> str:
@@ -106,8 +118,9 @@ def _bounded(state: str) -> str:
 def leave_object(pairs: list[tuple[str, object]]) -> Shape:
     """The automaton's transition, called for each object after all it holds: labels without white space (a later label of the same name wins) and their states; fields that hold nothing don't count."""
     fields = {clean_key(k): v for k, v in pairs}
-    parts = sorted(f"{k}:{s}" for k, v in fields.items() if (s := state_of(v)) != "-")
-    return Shape(fields, _bounded("{" + ",".join(parts) + "}"))
+    states = {k: s for k, v in fields.items() if (s := state_of(v)) != "-"}
+    layer = {k: kind_of(fields[k], s) for k, s in states.items()}
+    return Shape(fields, _bounded("{" + ",".join(sorted(f"{k}:{s}" for k, s in states.items())) + "}"), layer)
 
 
 _BLANK = re.compile(r"[ \t\n\r]*")
@@ -179,17 +192,16 @@ def load_body(text: str):
 
 
 def subtype(level: int, shape: Shape) -> str:
-    """The subtype of an object of a level, from its state's first layer: what text it has and what is below it.
+    """The subtype of an object of a level, read off its state's first layer: what text it has and what is below it.
 
-    '전문' heads (units that aren't articles) are of their own kind. Below: 'one' a lone object, 'many' a list.
+    '전문' heads (units that aren't articles) are of their own kind, told by their flag. Below: 'one' a lone object, 'many' a list.
     """
     text, _ = LEVEL_FIELDS[LEVELS[level]]
     kind = "head" if level == 0 and plain_text(shape.fields.get(UNIT_FLAG)) not in (None, "조문") else "item"
-    has = {"-": "bare", "t": "text"}.get(state_of(shape.fields.get(text)), "texts")
+    has = {"-": "bare", "t": "text"}.get(shape.layer.get(text, "-"), "texts")
     if level + 1 == len(LEVELS):
         return f"{kind}_{has}"
-    below = shape.fields.get(LEVELS[level + 1])
-    below = "one" if isinstance(below, Shape) else "many" if isinstance(below, list) and any(isinstance(x, Shape) for x in below) else "leaf"
+    below = {"o": "one", "m": "many"}.get(shape.layer.get(LEVELS[level + 1], "-"), "leaf")
     return f"{kind}_{has}_{below}"
 
 
@@ -201,14 +213,20 @@ def _members(value) -> Iterator[tuple[int, Shape]]:
         yield from ((i, x) for i, x in enumerate(value, 1) if isinstance(x, Shape))
 
 
-def walk(body: str | None) -> Iterator[tuple]:
-    """Rows (level, places, shape) of one record's text; nothing for null, torn or foreign texts."""
-    if not body:
-        return
+def readable(body: str | None):
+    """The JSON of a record's text; None for null, torn or foreign texts."""
     try:
-        root = load_body(body)
+        return load_body(body) if body else None
     except ValueError:
-        return
+        return None
+
+
+def walk(body: str | None) -> Iterator[tuple]:
+    """Rows (level, places, shape) of one record's text; nothing for null, torn or foreign texts."""
+    return walk_root(readable(body))
+
+
+def walk_root(root) -> Iterator[tuple]:
     tops = [root]
     for label in ROOT_PATH:
         tops = [x for t in tops if isinstance(t, Shape) for _, x in _members(t.fields.get(label))]
@@ -260,22 +278,31 @@ def nested_nodes(records: DataFrame, record_id: str, body: str) -> DataFrame:
     return records.select(F.col(record_id).cast("long").alias("record_id"), F.col(body).cast("string").alias("body")).mapInArrow(_parse, NODE_SCHEMA)
 
 
-def typed_tables(nodes: DataFrame) -> dict[str, DataFrame]:
-    """One table a level and, beneath it, one a subtype ('항/item_text_many'); all keep node_id and parent_id.
+def subtypes(level: int) -> list[str]:
+    """The names of a level's subtypes: a fixed, finite set, as a state's first layer has finitely many kinds."""
+    lasts = [""] if level + 1 == len(LEVELS) else ["_leaf", "_one", "_many"]
+    return [f"{kind}_{has}{last}" for kind in ("item", "head")[: 1 + (level == 0)] for has in ("bare", "text", "texts") for last in lasts]
+
+
+def write_typed(nodes: DataFrame, root: str) -> None:
+    """Route the rows of nested_nodes to one folder a level and subtype under root, in one pass."""
+    nodes.write.partitionBy("node_level", "subtype").parquet(root)
+
+
+def typed_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """One table a level and, beneath it, one a subtype ('항/item_text_many') of what write_typed wrote; all keep node_id and parent_id.
 
-    The subtypes are a fixed, finite set (the automaton's first layer), so no pass over the data is needed to name them.
+    Each reads its own folders only, and the columns that its type has; a subtype that never occurred is an empty table.
     """
-    own = {0: ["flag", "label_no", "branch_no", "title", "text"]}
+    schema = T.StructType.fromDDL(NODE_SCHEMA)
+    schema = T.StructType([*[f for f in schema if f.name not in ("node_level", "subtype")], schema["node_level"], schema["subtype"]])
+    nodes = spark.read.schema(schema).parquet(root)
     out = {}
     for level, name in enumerate(LEVELS):
         common = ["record_id", "node_id", *(["parent_id"] if level else []), *PLACES[: level + 1]]
+        own = ["label_no", *([] if level else ["branch_no", "flag", "title"]), "text"]
         table = nodes.where(F.col("node_level") == name)
-        out[name] = table.select(*common, "subtype", *own.get(level, ["label_no", "text"]))
-        lasts = [""] if level + 1 == len(LEVELS) else ["_leaf", "_one", "_many"]
-        for kind in ("item", "head")[: 1 + (level == 0)]:
-            for has in ("bare", "text", "texts"):
-                for last in lasts:
-                    sub = f"{kind}_{has}{last}"
-                    fields = [f for f in own.get(level, ["label_no", "text"]) if not (f == "text" and has == "bare")]
-                    out[f"{name}/{sub}"] = table.where(F.col("subtype") == sub).select(*common, *fields)
+        out[name] = table.select(*common, "subtype", *own)
+        for sub in subtypes(level):
+            out[f"{name}/{sub}"] = table.where(F.col("subtype") == sub).select(*common, *[f for f in own if not (f == "text" and "_bare" in sub)])
     return out

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import digits_of, is_blank, trim_any
 from lexstrata.operators import changefeed, history, orphans, snapdiff, variants
+from lexstrata.plans import body_sql
 from lexstrata.session import scratch_path, table, written
 from lexstrata.streaming import sync
 
@@ -312,6 +315,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_nodes(spark, d).select(F.col("record_id").alias("body_id"), "node_level", *variants.PLACES).distinct()
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes with their parents, fields and texts, but for the automaton's states."""
+    return p7_nodes(spark, d).drop("state").distinct()
+
+
+def p7_tables(spark: SparkSession, d: str) -> DataFrame:
+    """What the typed tables hold, routed there by one parse: rows, texts, parents and characters of each that isn't empty."""
+    root = scratch_path(spark, "typed")
+    variants.write_typed(p7_nodes(spark, d).distinct(), root)
+    parts = []
+    for name, t in variants.typed_tables(spark, root).items():
+        if "/" in name:
+            text = F.col("text") if "text" in t.columns else F.lit(None).cast("string")
+            parent = F.col("parent_id") if "parent_id" in t.columns else F.lit(None).cast("string")
+            parts.append(t.agg(F.count(F.lit(1)).alias("n_rows"), F.count(text).alias("n_texts"), F.count_distinct(parent).alias("n_parents"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, parts).where("n_rows > 0")
+
+
 # White space anywhere in the text, raw or escaped, makes no difference to where objects stand.
 _EACH = "CASE json_type({v}) WHEN 'OBJECT' THEN [{v}] WHEN 'ARRAY' THEN json_extract({v}, '$[*]') ELSE [] END"
 
@@ -343,7 +364,7 @@ def change_feed_stream(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.current_rows(changefeed.read_published(spark, f"{root}/state"), ["law_id", "mst"], ["enforcement_date", "revision_type"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_incremental, p4_ordinals, p5_found, p5_titles, p5_incremental, p5_appended, p6_found, p7_found, p7_nodes, change_feed_stream)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_incremental, p4_ordinals, p5_found, p5_titles, p5_incremental, p5_appended, p6_found, p7_found, p7_nodes, p7_links, p7_tables, change_feed_stream)}
 SQL = {
     "p2_found": P2_SQL,
     "p2_report": f"SELECT ref_name, period, kind, count(*) AS n_rows FROM ({P2_SQL}) GROUP BY ALL",
@@ -357,4 +378,6 @@ SQL = {
     "p6_found": P6_SQL,
     "change_feed_stream": P6_SQL,
     "p7_found": P7_SQL,
+    "p7_links": body_sql.LINKS_SQL,
+    "p7_tables": body_sql.TABLES_SQL,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexstrata.functions import lexical, temporal, text
 from lexstrata.operators import catalog, checks, chunking, history, ledger, refgraph, requirements, search
-from lexstrata.plans import views
+from lexstrata.plans import body_sql, views
 from lexstrata.session import table
 
 AS_OF = "2024-06-30"
@@ -281,12 +281,12 @@ def first_lines(spark: SparkSession, d: str) -> DataFrame:
 # --- chunks of raw bodies
 
 
-@query()
+@query(body_sql.META_SQL)
 def body_meta(spark: SparkSession, d: str) -> DataFrame:
     return chunking.body_meta(table(spark, d, "law_bodies_raw").dropDuplicates(["body_id", "body"]))
 
 
-@query()
+@query(body_sql.CHUNKS_SQL)
 def article_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.article_chunks(table(spark, d, "law_bodies_raw"))
 

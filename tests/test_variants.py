@@ -66,14 +66,15 @@ def test_odd_bodies(spark):
     assert variants.nested_nodes(df.limit(0), "body_id", "body").count() == 0
 
 
-def test_typed_tables_cover_all(spark):
+def test_typed_tables_cover_all(spark, tmp_path):
     units = [
         {"조문여부": "전문", "조문내용": "제1장 총칙"},
         {"조문여부": "조문", "조문번호": "3", "조문가지번호": "2", "조문제목": "목적", "조문내용": ["제3조의2(목적)", "&lt;줄&gt;"], HANG: {"항내용": "① 하나", HO: [{"호내용": "1. 둘", MOK: {"목내용": "가. 셋"}}, None, {}]}},
     ]
     df = spark.createDataFrame([(1, json.dumps(body(units)))], "body_id long, body string")
     nodes = variants.nested_nodes(df, "body_id", "body")
-    tables = variants.typed_tables(nodes)
+    variants.write_typed(nodes, f"{tmp_path}/typed")
+    tables = variants.typed_tables(spark, f"{tmp_path}/typed")
     assert sum(t.count() for n, t in tables.items() if "/" in n) == nodes.count() == 6
     ids = {r.node_id for r in nodes.collect()}
     assert {r.parent_id for r in nodes.collect() if r.parent_id} <= ids
