@@ -12,24 +12,37 @@ from lexstrata.functions.temporal import as_day, in_force
 from lexstrata.operators import refgraph, requirements
 from lexstrata.operators import search as retrieval
 from lexstrata.plans import views
+from lexstrata.session import scratch_path
 
 
 @dataclass
 class Repository:
-    """All read functions over the tables of one directory; every one returns a lazy DataFrame."""
+    """All read functions over the tables of one directory; every one returns a lazy DataFrame.
+
+    index: folder of the stored vectors (store_vectors); None: they are encoded and written once, at the first dense search.
+    """
 
     spark: SparkSession
     path: str
+    index: str | None = None
+
+    def store_vectors(self, index: str) -> None:
+        """Encode the texts of all current versions and write (id, embedding)."""
+        current = views.versions(self.spark, self.path).where("is_current").select("id", "loaded_at")
+        texts = views.texts(self.spark, self.path).join(current, ["id", "loaded_at"], "left_semi").dropDuplicates(["id"])
+        retrieval.hashed_encoder(texts, "content").select("id", "embedding").write.mode("overwrite").parquet(index)
+        self.index = index
 
     def search(self, query: str, arm: str = "dense", limit: int = 10, as_of: dt.date | str | None = None) -> DataFrame:
         """(article_pk, score, text); as_of None: current versions."""
-        articles = views.ledger(self.spark, self.path)
         vectors = vector = None
         if arm == "dense":
-            vectors = retrieval.hashed_encoder(articles.where("is_current").select("id", "content"), "content").select("id", "embedding")
-            asked = self.spark.createDataFrame([(query,)], "q string")
-            vector = retrieval.hashed_encoder(asked, "q").first()["embedding"]
-        return retrieval.search(articles, query, arm, limit, as_day(as_of) if as_of else None, vectors, vector)
+            if self.index is None:
+                self.store_vectors(scratch_path(self.spark, "vectors"))
+            vectors = self.spark.read.parquet(self.index)
+            vector = retrieval.hashed_model()([query])[0].tolist()
+        day = as_day(as_of) if as_of else None
+        return retrieval.search(views.versions(self.spark, self.path), query, arm, limit, day, vectors, vector, views.texts(self.spark, self.path))
 
     def resolve_as_of(self, law_id: str, article_no: int, paragraph_no: int | None = None, as_of: dt.date | str | None = None) -> DataFrame:
         """The version in force on a day: one row or none."""

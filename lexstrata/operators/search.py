@@ -17,7 +17,7 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -26,7 +26,7 @@ from lexstrata.functions import lexical
 from lexstrata.functions.temporal import in_force
 from lexstrata.functions.text import first_line
 from lexstrata.operators.ledger import KEY
-from lexstrata.session import cut_lineage
+from lexstrata.session import cut_lineage, spread
 
 ARMS = ("dense", "bm25")
 RECALL = 3
@@ -34,6 +34,12 @@ API_LIMIT = 20
 BLOCK_QUERIES = 2_000
 BLOCK_VALUES = 1_000_000  # tokens or vector components of a block's queries
 PART_ROWS = 256
+POSTING_BUCKETS = 64
+
+
+def token_number(token: str) -> int:
+    """lexical.token_id outside of SQL."""
+    return int.from_bytes(md5(token.encode()).digest()[:4], "little")
 
 
 class _Postings:
@@ -43,10 +49,7 @@ class _Postings:
         self.wanted = wanted
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(1 << 18)
-        def number(token: str) -> int:
-            return int.from_bytes(md5(token.encode()).digest()[:4], "little")
-
+        number = lru_cache(1 << 18)(token_number)
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -71,7 +74,7 @@ def postings(docs: DataFrame, doc_id: str, text: str, wanted: list[str] | None =
 
     Counted within each row, so nothing is shuffled. first: whether it's the document's first token of this id (ids may collide).
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("token_id", T.LongType()), T.StructField("tf", T.LongType()), T.StructField("length", T.LongType()), T.StructField("first", T.BooleanType())])
     out = rows.mapInArrow(_Postings(None if wanted is None else frozenset(wanted)), schema)
     return out.withColumn("weight", lexical.tf_weight(F.col("tf"), F.col("length")))
@@ -82,6 +85,41 @@ def document_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("token_id").agg(F.count_if("first").alias("df"))
 
 
+class _Numbers:
+    """Arrow batches (text) to (token_id, df), counted within the task, handing on at BLOCK_VALUES ids."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seen = lru_cache(1 << 18)(token_number), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(set(map(number, lexical.token_counts(text)[0])))
+                if len(seen) > BLOCK_VALUES:
+                    yield self._out(seen)
+                    seen = Counter()
+        yield self._out(seen)
+
+    def _out(self, seen: Counter[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], ["token_id", "df"])
+
+
+def token_frequencies(docs: DataFrame, text: str) -> DataFrame:
+    """document_frequencies straight from the texts: no posting leaves a task, only its tokens' counts."""
+    return spread(docs.select(F.col(text).cast("string").alias("text"))).mapInArrow(_Numbers(), "token_id long, df long").groupBy("token_id").agg(F.sum("df").alias("df"))
+
+
+def write_postings(posted: DataFrame, root: str, buckets: int = POSTING_BUCKETS) -> None:
+    """Postings as a stored table, one folder a bucket of token ids, to be searched by bm25_stored."""
+    bucketed = posted.withColumn("bucket", (F.col("token_id") % buckets).cast("int"))
+    # A token of every document must not be one task's: rows go by token and document.
+    bucketed.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("bucket").parquet(root)
+
+
+def bm25_stored(spark: SparkSession, root: str, n_docs: DataFrame, query: str, limit: int, buckets: int = POSTING_BUCKETS) -> DataFrame:
+    """(doc_id, score) over stored postings: only the folders of the query's tokens are read."""
+    wanted = sorted({token_number(t) % buckets for t in lexical.query_terms(query)})
+    return bm25_search(spark.read.parquet(root).where(F.col("bucket").isin(wanted)), n_docs, query, limit)
+
+
 def query_tokens(docs: DataFrame, query: str) -> DataFrame:
     """The distinct token ids of a query, each of weight 1."""
     terms = F.array(*[F.lit(t) for t in lexical.query_terms(query)]).cast("array<string>")
@@ -344,34 +382,49 @@ def hashed_encoder(texts: DataFrame, text: str, out: str = "embedding") -> DataF
     return texts.withColumn(out, encoder(hashed_model)(F.col(text)))
 
 
-def resolve_hits(hits: DataFrame, source: DataFrame, ledger: DataFrame, day: Column, limit: int) -> DataFrame:
-    """Hits (doc_id, score) on current rows re-resolved to the versions in force on a day: one batch join in place of a look-up a hit.
+def _met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    return left.alias("l").join(right.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in on], how)
+
+
+def resolve_hits(hits: DataFrame, current: DataFrame, versions: DataFrame, day: Column, limit: int) -> DataFrame:
+    """Hits (doc_id, score) on current rows re-resolved to the versions in force on a day, with these' columns: one batch join in place of a look-up a hit.
 
     Scores and order stay those of the current rows; units without a version that day drop out and aren't refilled.
     """
-    ranked = hits.join(source.select(F.col("id").alias("doc_id"), *KEY), "doc_id")
-    then = ledger.where(in_force(day)).select(*KEY, F.col("id").alias("then_id"), F.col("content").alias("text"))
-    on = [F.col(f"h.{k}").eqNullSafe(F.col(f"t.{k}")) for k in KEY]
-    met = F.broadcast(ranked.alias("h")).join(then.alias("t"), on)  # at most `limit` * RECALL rows
-    return met.orderBy(F.desc("score"), "doc_id").limit(limit).select(F.col("then_id").alias("article_pk"), "score", "text")
+    ranked = hits.join(current.select(F.col("id").alias("doc_id"), *KEY), "doc_id")
+    met = _met(F.broadcast(ranked), versions.where(in_force(day)), KEY)  # at most `limit` * RECALL rows
+    return met.orderBy(F.desc("score"), "doc_id").limit(limit).select("doc_id", "score", *[F.col(f"r.{c}") for c in versions.columns])
+
 
+def search(
+    articles: DataFrame, query: str, arm: str = "dense", limit: int = 10, as_of: Column | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None, texts: DataFrame | None = None
+) -> DataFrame:
+    """(article_pk, score, text) of one arm over current rows; with as_of, three times as many are recalled, re-resolved and cut.
 
-def search(articles: DataFrame, query: str, arm: str = "dense", limit: int = 10, as_of: Column | None = None, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
-    """(article_pk, score, text) of one arm over current rows; with as_of, three times as many are recalled, re-resolved and cut."""
+    articles: one row an id. Where these come without content but with loaded_at, texts (id, loaded_at, content) holds it, deliveries may be
+    repeated there: tokens are counted where texts are read, and only those of the hits are ever joined.
+    """
     if arm not in ARMS:
         raise ValueError(f"arm must be one of {ARMS}")
+    at = ["id"] if texts is None else ["id", "loaded_at"]
+    texts = (articles if texts is None else texts).select(*at, "content")
     current = articles.where("is_current")
     recall = limit * RECALL if as_of is not None else limit
     if arm == "bm25":
-        hits = bm25_scan(current, "id", "content", query, recall)
+        posted = postings(texts.select(F.struct(*at).alias("row"), "content"), "row", "content", lexical.query_terms(query))
+        own = _met(posted.select("doc_id.*", "token_id", "first", "weight"), current.select(*at), at, "left_semi").distinct()
+        hits = _scored(own.withColumnRenamed("id", "doc_id"), current.agg(F.count(F.lit(1))), recall)
     else:
         if vectors is None or query_vector is None:
             raise ValueError("the dense arm needs vectors and the query's vector")
         hits = dense_search(vectors.join(current.select("id"), "id", "left_semi"), "id", "embedding", query_vector, recall)
-    if as_of is not None:
-        return resolve_hits(hits, current, articles, as_of, limit)
-    rows = current.select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
-    return F.broadcast(hits).join(rows, "doc_id").orderBy(F.desc("score"), "doc_id").select(F.col("doc_id").alias("article_pk"), "score", "text")
+    if as_of is None:
+        rows = F.broadcast(hits).join(current.withColumn("doc_id", F.col("id")), "doc_id").select("doc_id", "score", *at)
+    else:
+        rows = resolve_hits(hits, current, articles.select(*KEY, "valid_from", "valid_to", *at), as_of, limit).select("doc_id", "score", *at)
+    shown = _met(F.broadcast(rows), texts, at).select("doc_id", "score", F.col("l.id").alias("article_pk"), F.col("content").alias("text"))
+    shown = shown.dropDuplicates(["article_pk", "doc_id"])  # at most `limit` rows, as often as they were delivered
+    return shown.orderBy(F.desc("score"), "doc_id").select("article_pk", "score", "text")
 
 
 def two_arms(dense: DataFrame, bm25: DataFrame) -> DataFrame:

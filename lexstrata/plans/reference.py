@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexstrata.functions import lexical, temporal, text
 from lexstrata.operators import catalog, checks, chunking, history, ledger, refgraph, requirements, search
 from lexstrata.plans import body_sql, views
-from lexstrata.session import table
+from lexstrata.session import scratch_path, spread, table
 
 AS_OF = "2024-06-30"
 QUERY = "수입물품의 통관 신고 보세구역"
@@ -301,7 +301,7 @@ def indexable(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH tok AS (SELECT doc_id, {TOKENS.format(c='text')} AS toks FROM documents) SELECT doc_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct FROM tok")
 def tokenize_docs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", lexical.tokens(F.col("text")).alias("toks"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", lexical.tokens(F.col("text")).alias("toks"))
     return rows.select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.size(F.array_distinct("toks")).cast("long").alias("n_distinct"))
 
 
@@ -316,7 +316,7 @@ _TOKEN_ID = "('0x' || substring(md5(token), 7, 2) || substring(md5(token), 5, 2)
 @query(f"WITH {POSTED} SELECT {_TOKEN_ID} AS token_id, count(DISTINCT doc_id) AS df, round(ln(((SELECT count(*) FROM documents) - count(DISTINCT doc_id) + 0.5) / (count(DISTINCT doc_id) + 0.5) + 1), 6) AS idf FROM posted GROUP BY ALL")
 def doc_freq_idf(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    df = search.document_frequencies(search.postings(docs, "doc_id", "text"))
+    df = search.token_frequencies(docs, "text")
     return df.select("token_id", "df", F.round(lexical.idf(docs.agg(F.count(F.lit(1))).scalar(), F.col("df")), 6).alias("idf"))
 
 
@@ -390,9 +390,17 @@ hits AS (SELECT doc_id, len, token, count(*) AS tf FROM (SELECT doc_id, len(toks
 bm AS (SELECT doc_id, sum({WEIGHT} * ln(((SELECT count(*) FROM cur) - df + 0.5) / (df + 0.5) + 1)) AS score FROM hits JOIN dfs USING (token) GROUP BY doc_id ORDER BY round(score, 9) DESC, doc_id LIMIT {{n}})"""
 
 
+def _search(spark: SparkSession, d: str, arm: str, as_of: Column | None = None) -> DataFrame:
+    """The vectors' table stands for stored vectors of the articles of its ids; the dense query is the vector of id 0."""
+    vectors = table(spark, d, "embeddings")
+    asked = vectors.where("vec_id = 0 and embedding is not null").first() if arm == "dense" else None
+    stored = vectors.select(F.col("vec_id").alias("id"), "embedding")
+    return search.search(views.versions(spark, d), QUERY, arm, 10, as_of, stored, list(asked["embedding"]) if asked else [], views.texts(spark, d))
+
+
 @query(f"WITH {_CUR.format(n=10)} SELECT doc_id AS article_pk, round(score, 6) AS score, content AS text FROM bm JOIN cur ON cur.id = doc_id")
 def search_current(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(views.ledger(spark, d), QUERY, "bm25", 10).withColumn("score", F.round("score", 6))
+    return _search(spark, d, "bm25").withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -401,7 +409,41 @@ def search_current(spark: SparkSession, d: str) -> DataFrame:
     WHERE o.valid_from <= DATE '{AS_OF}' AND (o.valid_to IS NULL OR o.valid_to > DATE '{AS_OF}') ORDER BY round(score, 9) DESC, doc_id LIMIT 10"""
 )
 def search_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(views.ledger(spark, d), QUERY, "bm25", 10, as_of=day()).withColumn("score", F.round("score", 6))
+    return _search(spark, d, "bm25", day()).withColumn("score", F.round("score", 6))
+
+
+_DCUR = f"""{_ONE}, cur AS (SELECT * FROM one WHERE is_current),
+bm AS (SELECT e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e JOIN cur ON cur.id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY round(score, 9) DESC, doc_id LIMIT {{n}})"""
+
+
+@query(f"WITH {_DCUR.format(n=10)} SELECT doc_id AS article_pk, round(score, 6) AS score, content AS text FROM bm JOIN cur ON cur.id = doc_id")
+def search_dense(spark: SparkSession, d: str) -> DataFrame:
+    """The dense arm over current versions and stored vectors."""
+    return _search(spark, d, "dense").withColumn("score", F.round("score", 6))
+
+
+_THEN = f"""SELECT o.id AS article_pk, round(score, 6) AS score, o.content AS text, r.doc_id FROM (SELECT bm.*, law_id, article_no, paragraph_no FROM bm JOIN cur ON cur.id = doc_id) r
+    JOIN one o ON o.law_id = r.law_id AND o.article_no = r.article_no AND o.paragraph_no IS NOT DISTINCT FROM r.paragraph_no
+    WHERE o.valid_from <= DATE '{AS_OF}' AND (o.valid_to IS NULL OR o.valid_to > DATE '{AS_OF}') ORDER BY round(score, 9) DESC, r.doc_id LIMIT 10"""
+
+
+@query(f"WITH {_DCUR.format(n=30)} SELECT article_pk, score, text FROM ({_THEN})")
+def search_dense_as_of(spark: SparkSession, d: str) -> DataFrame:
+    return _search(spark, d, "dense", day()).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_CUR.format(n=10)} SELECT doc_id AS article_pk, round(score, 4) AS score, {TRIM.format(c='string_split(content, chr(10))[1]')} AS head FROM bm JOIN cur ON cur.id = doc_id ORDER BY round(bm.score, 9) DESC, doc_id LIMIT 5")
+def api_hits(spark: SparkSession, d: str) -> DataFrame:
+    """What a service shows of a search: five hits, rounded scores, first lines."""
+    return search.api_hits(_search(spark, d, "bm25"))
+
+
+@query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm")
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword arm over postings written once, of which only the query's folders are read."""
+    docs, root = table(spark, d, "documents"), scratch_path(spark, "postings")
+    search.write_postings(search.postings(docs, "doc_id", "text"), root)
+    return search.bm25_stored(spark, root, docs.agg(F.count(F.lit(1))), QUERY, 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 # --- citations
