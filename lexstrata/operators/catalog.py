@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexstrata.functions.text import PREFIXES
 
@@ -67,3 +68,17 @@ def catalog_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def level_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy(F.length("code").alias("level")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def snapshot_diffs(rows: DataFrame, days: DataFrame) -> DataFrame:
+    """catalog_diff of every two consecutive snapshots: (day of the later one, code, change, old_name, new_name).
+
+    rows: (code, day, name_ko), one a code and snapshot; days: (day) of all snapshots. The first one has nothing before it.
+    """
+    order = W.orderBy("day")
+    days = days.select("day").where(F.col("day").isNotNull()).distinct().select("day", F.lag("day").over(order).alias("before"), F.lead("day").over(order).alias("next"))
+    told = rows.join(F.broadcast(days), "day")  # a DATE has a bounded number of values
+    old = told.where(F.col("next").isNotNull()).select("code", F.col("next").alias("day"), F.col("name_ko").alias("old_name"), F.lit(1).alias("o"))
+    new = told.where(F.col("before").isNotNull()).select("code", "day", F.col("name_ko").alias("new_name"), F.lit(1).alias("n"))
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(~F.col("old_name").eqNullSafe(F.col("new_name")), "renamed")
+    return old.join(new, ["code", "day"], "full_outer").select("day", "code", change.alias("change"), "old_name", "new_name").where("change is not null")

@@ -60,31 +60,36 @@ def removed_units(opened: DataFrame, incoming: DataFrame, effective: DataFrame,
 
 
 def apply_version(ledger: DataFrame, incoming: DataFrame, law_id: str, effective: Column, repeal: bool = False) -> DataFrame:
-    """The ledger after one new version of one law: rows of incoming (KEY, title, content, content_hash, version_mst, valid_from).
+    """apply_versions for one new version of one law."""
+    told = ledger.sparkSession.range(1).select(F.lit(law_id).alias("law_id"), effective.alias("effective_on"), F.lit(repeal).alias("repeal"))
+    return apply_versions(ledger, incoming, told)
+
+
+def apply_versions(ledger: DataFrame, incoming: DataFrame, effective: DataFrame) -> DataFrame:
+    """The ledger after one new version of each law in effective (law_id, effective_on, repeal): rows of incoming (KEY, title, content, content_hash, version_mst, valid_from; those of the ledger's columns that it has).
 
     Amended rows close at the new row's start, missing ones at the law's effective day (not if they start then or later),
-    corrections replace content in place, stale and equal rows change nothing. A repeal closes all open rows of the law.
-    New rows aren't current until promoted; their id is null until assign_ids().
+    corrections replace content in place, stale and equal rows change nothing. A repeal closes all open rows of the law, whatever comes in.
+    New rows aren't current until promoted; their id is null until assign_ids(). One row a law in effective, one a key among incoming and open rows.
     """
-    own = F.col("law_id") == law_id
-    is_open = own & F.col("valid_to").isNull()
-    if repeal:
-        return ledger.withColumn("valid_to", F.when(is_open & (F.col("valid_from") < effective), effective).otherwise(F.col("valid_to")))
-    others = ledger.where(~is_open)
-    body = ["title", "content", "content_hash", "version_mst"]
-    new = incoming.where(own).select(*KEY, F.col("valid_from"), F.struct("valid_from", *body).alias("__new")).drop("valid_from").alias("n")
-    met = ledger.where(is_open).alias("o").join(new, same_key("o", "n"), "full_outer")
+    told = effective.select("law_id", "effective_on", F.coalesce("repeal", F.lit(False)).alias("__repeal"))
+    rows = ledger.join(told, "law_id", "left")
+    is_open = F.col("effective_on").isNotNull() & F.col("valid_to").isNull()
+    others = rows.where(~is_open).select(*ledger.columns)
+    body = [c for c in ("title", "content", "content_hash", "version_mst") if c in ledger.columns]
+    new = incoming.join(told.where(~F.col("__repeal")).select("law_id"), "law_id", "left_semi").select(*KEY, F.struct("valid_from", *body).alias("__new")).alias("n")
+    met = rows.where(is_open).alias("o").join(new, same_key("o", "n"), "full_outer")
     fresh, old_from = F.col("n.__new"), F.col("o.valid_from")
     same = F.col("o.content_hash") == fresh["content_hash"]
     corrected = fresh.isNotNull() & old_from.isNotNull() & ~same & (fresh["valid_from"] == old_from)
     amended = fresh.isNotNull() & old_from.isNotNull() & ~same & (fresh["valid_from"] > old_from)
-    gone = fresh.isNull() & (old_from < effective)
+    gone = fresh.isNull() & (old_from < F.col("o.effective_on"))
 
     def field(c: str, value: Column) -> Column:
         return value.cast(ledger.schema[c].dataType).alias(c)
 
     closed = F.struct(*[
-        field(c, F.when(amended, fresh["valid_from"]).when(gone, effective) if c == "valid_to" else F.when(corrected, fresh[c]).otherwise(F.col(f"o.{c}")) if c in body else F.col(f"o.{c}"))
+        field(c, F.when(amended, fresh["valid_from"]).when(gone, F.col("o.effective_on")) if c == "valid_to" else F.when(corrected, fresh[c]).otherwise(F.col(f"o.{c}")) if c in body else F.col(f"o.{c}"))
         for c in ledger.columns
     ])
     added = F.struct(*[
@@ -95,6 +100,11 @@ def apply_version(ledger: DataFrame, incoming: DataFrame, law_id: str, effective
     return others.unionByName(met.select(F.explode(out).alias("r")).select("r.*"))
 
 
+def status_counts(reconciled: DataFrame) -> DataFrame:
+    """(status, n_rows): the counters of a load, of reconcile()'s rows."""
+    return reconciled.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def assign_ids(ledger: DataFrame, order: list[str]) -> DataFrame:
     """Rows without an id get the numbers behind the largest, in a total order within hash buckets and without one global sort.
 

@@ -92,3 +92,24 @@ def expand(starts: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     target = nodes.select(F.col("article_pk").alias("dst"), "law_name", "article_no", F.coalesce("title", "law_name").alias("title"))
     hop = edges.join(starts.select(F.col("article_pk").alias("src")).distinct(), "src", "left_semi").join(target, "dst")
     return hop.select(F.col("src").alias("article_pk"), "rel", "dst", "law_name", "article_no", "title", "basis", "n")
+
+
+def build(articles: DataFrame, laws: DataFrame, stored: tuple[DataFrame, DataFrame] | None = None, keep: bool = False, parts: str = "all") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a rebuild over the stored graph (None: there's none).
+
+    parts: 'all', 'nodes' (edges stay as stored) or 'edges' (nodes stay). keep: what is stored and not built anew survives; without it the
+    built parts replace what was stored.
+    """
+    if parts not in ("all", "nodes", "edges"):
+        raise ValueError("parts must be all, nodes or edges")
+    families = law_families(laws)
+    nodes = article_nodes(articles, laws) if parts != "edges" or stored is None else stored[0]
+    if parts == "nodes":
+        edges = stored[1] if stored else graph_edges(nodes, references(nodes.withColumnRenamed("article_pk", "id"), families), families).limit(0)
+    else:
+        edges = graph_edges(nodes, references(nodes.withColumnRenamed("article_pk", "id"), families), families)
+    if keep and stored:
+        merged = lambda new, old, keys: new.unionByName(old.join(new.select(*keys), keys, "left_anti").select(*new.columns))
+        nodes = merged(nodes, stored[0], ["article_pk"]) if parts != "edges" else nodes
+        edges = merged(edges, stored[1], ["src", "dst", "rel"]) if parts != "nodes" else edges
+    return nodes, edges

@@ -100,6 +100,13 @@ def lookup_response(products: DataFrame, nodes: DataFrame, found: DataFrame) ->
     return out.withColumn("subject", F.size("requirements") > 0)
 
 
+def response_lines(responses: DataFrame) -> DataFrame:
+    """Responses flattened for a list: (hsk10, name_ko, name_en, subject, chain, lines); chain: the ancestors' names that there are, from the chapter down."""
+    names = [F.col(f"ancestors.{a}.name") for a in reversed(PREFIXES)]
+    line = lambda r: F.concat_ws("|", r["trade_type"], r["law_code"], r["law_name"], r["document"], F.concat_ws(",", r["agencies"]), r["valid_from"], r["source"], r["level"].cast("string"))
+    return responses.select("hsk10", "name_ko", "name_en", "subject", F.concat_ws(" › ", *names).alias("chain"), F.sort_array(F.transform("requirements", line)).alias("lines"))
+
+
 def sweep_todo(products: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
     """(hs, tpcd): pairs of product and direction that no sweep has done, in order; empty results are done too."""
     kinds = F.explode(F.array(*[F.lit(k) for k in TRADE_TYPES]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.functions import lexical, temporal, text
-from lexstrata.operators import catalog, checks, chunking, history, ledger, refgraph, requirements, search
+from lexstrata.operators import catalog, checks, chunking, history, ledger, refgraph, requirements, search, snapdiff
 from lexstrata.plans import body_sql, views
 from lexstrata.session import scratch_path, spread, table
 
@@ -499,13 +499,17 @@ def catalog_ancestors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {NODES}, old AS (SELECT * FROM nodes WHERE snapshot_date = (SELECT min(snapshot_date) FROM hs_node_snapshots))
-    SELECT * FROM (SELECT coalesce(o.code, n.code) AS code, CASE WHEN o.code IS NULL THEN 'added' WHEN n.code IS NULL THEN 'removed' WHEN o.name_ko IS DISTINCT FROM n.name_ko THEN 'renamed' END AS change, o.name_ko AS old_name, n.name_ko AS new_name
-    FROM old o FULL JOIN now n ON o.code = n.code) WHERE change IS NOT NULL"""
+    f"""WITH {NODES}, days AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) AS no FROM (SELECT DISTINCT snapshot_date FROM hs_node_snapshots WHERE snapshot_date IS NOT NULL)),
+    n AS (SELECT nodes.*, no FROM nodes JOIN days USING (snapshot_date)),
+    met AS (SELECT coalesce(b.no, a.no + 1) AS no, coalesce(a.code, b.code) AS code, CASE WHEN a.code IS NULL THEN 'added' WHEN b.code IS NULL THEN 'removed' WHEN a.name_ko IS DISTINCT FROM b.name_ko THEN 'renamed' END AS change, a.name_ko AS old_name, b.name_ko AS new_name
+      FROM n a FULL JOIN n b ON a.code = b.code AND b.no = a.no + 1)
+    SELECT snapshot_date AS day, code, change, old_name, new_name FROM met JOIN days USING (no) WHERE no > 1 AND change IS NOT NULL"""
 )
 def catalog_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Differences of each snapshot of the catalogue to the one before."""
     nodes = table(spark, d, "hs_node_snapshots")
-    return catalog.catalog_diff(views.snapshot_nodes(nodes, nodes.agg(F.min("snapshot_date"))), views.catalogue(spark, d))
+    rows = snapdiff.latest_rows(nodes, text.digits_of("code"), "snapshot_date", F.struct("row_id", "name_ko"), F.col("loaded_at"), [F.col("row_id")])
+    return catalog.snapshot_diffs(rows.select(F.col("key").alias("code"), "day", F.col("value.name_ko").alias("name_ko")), nodes.select(F.col("snapshot_date").alias("day")))
 
 
 @query(
@@ -544,11 +548,32 @@ def requirement_lookup(spark: SparkSession, d: str) -> DataFrame:
     return requirements.lookup(leaves, views.requirement_paths(spark, d), as_of="20200101")
 
 
-@query()
-def requirement_responses(spark: SparkSession, d: str) -> DataFrame:
+_ASKED = "asked AS (SELECT code AS hsk10, unnest(list_distinct([code, substring(code, 1, 6), substring(code, 1, 4), substring(code, 1, 2)])) AS hs FROM now WHERE is_leaf)"
+
+
+def _requirement_lines(traded: str = "true") -> str:
+    return f"""WITH {NODES}, {ITEMS}, {_ASKED},
+    req AS (SELECT hsk10, list_sort(list(concat_ws('|', trade_type, law_code, law_name, document, array_to_string(agencies, ','), valid_from, CASE WHEN hs = hsk10 THEN 'direct' ELSE 'inherited' END, length(hs)))) AS lines FROM asked JOIN paths USING (hs) WHERE {traded} GROUP BY hsk10)
+    SELECT l.code AS hsk10, l.name_ko, l.name_en, r.lines IS NOT NULL AS subject, concat_ws(' › ', c.name_ko, b.name_ko, a.name_ko) AS chain, coalesce(r.lines, []) AS lines
+    FROM now l LEFT JOIN now a ON a.code = substring(l.code, 1, 6) LEFT JOIN now b ON b.code = substring(l.code, 1, 4) LEFT JOIN now c ON c.code = substring(l.code, 1, 2) LEFT JOIN req r ON r.hsk10 = l.code WHERE l.is_leaf"""
+
+
+def _responses(spark: SparkSession, d: str, trade_type: str | None = None) -> DataFrame:
     nodes = views.catalogue(spark, d)
     leaves = nodes.where("is_leaf").select("code")
-    return requirements.lookup_response(leaves, nodes, requirements.lookup(leaves, views.requirement_paths(spark, d)))
+    return requirements.response_lines(requirements.lookup_response(leaves, nodes, requirements.lookup(leaves, views.requirement_paths(spark, d), trade_type)))
+
+
+@query(_requirement_lines())
+def requirement_responses(spark: SparkSession, d: str) -> DataFrame:
+    """The nested answer of every product, as lines."""
+    return _responses(spark, d)
+
+
+@query(_requirement_lines("trade_type = '수입'"))
+def requirement_imports(spark: SparkSession, d: str) -> DataFrame:
+    """The same for one direction."""
+    return _responses(spark, d, "수입")
 
 
 @query(f"WITH {NODES} SELECT code AS hs, t AS tpcd FROM now, (VALUES ('1'), ('2')) v(t) WHERE is_leaf AND NOT EXISTS (SELECT 1 FROM ccct_progress p WHERE {DIGITS.format(c='p.hs')} = code AND trim(p.tpcd) = t)")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lexstrata.functions.text import digits_of
 from lexstrata.operators import history, refgraph, requirements
@@ -34,12 +35,10 @@ def slim_ledger(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def history_rows(spark: SparkSession, d: str) -> DataFrame:
     """One row a key and start with its own end cut at the next start: (key, valid_from, valid_to, id, content_hash, version_mst, title)."""
     keys = ["law_id", "article_no", "paragraph_no"]
-    rows = table(spark, d, "law_articles").where(F.col("deleted_at").isNull()).withColumn("row_id", F.col("id"))
-    best = history.counting_versions(rows, keys, "valid_from", "id", "loaded_at", ["valid_to", "content_hash", "version_mst", "title", "row_id"])
-    from pyspark.sql.window import Window as W
-
+    rows = table(spark, d, "law_articles").where(F.col("deleted_at").isNull())
+    best = history.counting(history.first_deliveries(rows, keys, "valid_from", "id", "loaded_at", ["valid_to", "content_hash", "version_mst", "title"]), keys, "valid_from")
     nxt = F.lead("valid_from").over(W.partitionBy(*keys).orderBy("valid_from"))
-    return best.withColumn("valid_to", F.least("valid_to", nxt)).withColumnRenamed("row_id", "id")
+    return best.withColumn("valid_to", F.least("valid_to", nxt)).withColumnRenamed("row_id", "id").drop("loaded")
 
 
 def catalogue(spark: SparkSession, d: str) -> DataFrame:
