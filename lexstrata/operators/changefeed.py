@@ -101,11 +101,10 @@ class _Upsert:
 def merge_states(states: DataFrame, keys: list[str], fields: list[str], buckets: int | None = None, memory: str = MEMORY_LIMIT, flush: int = BUCKET_ROWS) -> DataFrame:
     """One state row a key, tombstones included.
 
-    buckets: by default as many as keep a bucket near BUCKET_ROWS keys at most, spark.sql.shuffle.partitions at least; an
+    buckets: by default as many as keep a bucket near BUCKET_ROWS keys at most, and as tasks that can run at once at least; an
     embedded database's index must fit its memory, so their number has to follow the rows.
     """
-    spark = states.sparkSession
-    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-states.count() // BUCKET_ROWS))
+    buckets = buckets or max(states.sparkSession.sparkContext.defaultParallelism, -(-states.count() // BUCKET_ROWS))
     schema = ", ".join([*[f"`{k}` string" for k in keys], "reset_op string, reset_seq long", *[f"`{f}` string, `{f}_seq` long" for f in fields]])
     names = [*keys, "reset_op", "reset_seq", *[x for f in fields for x in (f, f"{f}_seq")]]
     combined = states.select(*names).mapInArrow(_Upsert(keys, fields, memory, flush), schema)

@@ -5,9 +5,9 @@ forced by a hint so that no side is ever broadcast or collected). Parents come a
 [born, gone); a reference at time t with a known key is sound if some interval holds t, 'deleted' if none does
 but one ended at or before t, 'late' if all begin after t, and 'missing' if the key has no interval at all.
 
-Hot keys: a key named by more than 1/HOT_SHARE of all references is spread over SALTS partitions. There can be
+Hot keys: a key named by more than 1/HOT_SHARE of all references is spread over as many salts as a shuffle has partitions. There can be
 at most HOT_SHARE such keys, whatever the data, so their list may be broadcast; their parent rows, one a key,
-are repeated SALTS times. AQE's skew join splits whatever is left.
+are repeated once a salt. AQE's skew join splits whatever is left.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 HOT_SHARE = 200
-SALTS = 16
 KINDS = ("missing", "deleted", "late")
 
 
@@ -44,12 +43,13 @@ def presence_intervals(snapshots: DataFrame, key: Column, day: str) -> DataFrame
 
 
 def _salted(refs: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    salts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = refs.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = refs.agg(F.greatest(F.count(F.lit(1)), F.lit(HOT_SHARE * 100))).scalar()
+    total = counts.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(HOT_SHARE * 100))).scalar()
     hot = counts.where(F.col("n") * HOT_SHARE > total).select("key", F.lit(True).alias("hot"))
-    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("row_id", "at"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("row_id", "at"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     refs = refs.join(F.broadcast(hot), "key", "left").withColumn("salt", spread).drop("hot")
-    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return refs, parents.join(F.broadcast(hot), "key", "left").select("key", "spans", F.explode(copies).alias("salt"))
 
 

@@ -6,12 +6,14 @@ stay strings.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("dcerCfrmLworCd", "dcerCfrmLworNm", "reqApreIttCd", "reqApreIttNm", "reqCfrmIstmNm", "aplyStrtDt", "bfhnAffcRtmTpcd")])
 PROGRESS = T.StructType([T.StructField("hs", T.StringType()), T.StructField("tpcd", T.StringType()), T.StructField("items", T.ArrayType(ITEM))])
@@ -39,7 +41,7 @@ def change_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 # The codes by which the requirement service says that the day's quota is used up, and the code of success.
-QUOTA_CODES = ("22", "0022")
+QUOTA_CODES = ("22", "23")
 SUCCESS = "00"
 
 
@@ -128,10 +130,47 @@ LEAF_HEADERS = {"HS부호": "code", "적용시작일자": "valid_from", "적용
 
 
 def leaf_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """Ten-digit leaves with their attributes, dates as ISO strings (null if they aren't dates)."""
-    raw = sheets(spark, [path])[0].select(*[F.col(h).alias(n) for h, n in LEAF_HEADERS.items()])
-    iso = lambda c: F.date_format(F.try_to_date(F.col(c), "yyyyMMdd"), "yyyy-MM-dd")
-    return raw.where(F.length("code") == 10).withColumns({"valid_from": iso("valid_from"), "valid_to": iso("valid_to")})
+    """Ten-digit leaves with their attributes, dates as ISO strings (null if they aren't dates); other codes are left out, a leaf given twice raises."""
+    raw = sheets(spark, [path])[0].select(*[F.col(h).alias(n) for h, n in LEAF_HEADERS.items()]).withColumn("code", F.trim("code"))
+    iso = lambda c: F.date_format(F.coalesce(F.try_to_date(F.col(c), "yyyyMMdd"), F.try_to_date(F.col(c), "yyyy-MM-dd")), "yyyy-MM-dd")
+    twice = F.count(F.lit(1)).over(W.partitionBy("code")) > 1
+    leaves = raw.where(F.length("code") == 10).withColumn("code", F.when(twice, F.raise_error(F.concat(F.lit("leaf given twice: "), F.col("code")))).otherwise(F.col("code")))
+    return leaves.withColumns({"valid_from": iso("valid_from"), "valid_to": iso("valid_to")})
+
+
+WALK_SCHEMA = "place string, kind string, size int"
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import json
+
+    for batch in batches:
+        out = []
+        for body in batch.column(0).to_pylist():
+            try:
+                stack = [("", json.loads(body or ""), 0)]
+            except (ValueError, RecursionError):
+                continue
+            while stack:
+                place, value, depth = stack.pop()
+                while isinstance(value, list):
+                    value = value[0] if value else None
+                for k, v in value.items() if isinstance(value, dict) else ():
+                    at = f"{place}/{re.sub(r'[ \t\n\r\f]', '', k)}"
+                    out.append((at, type(v).__name__, len(v) if isinstance(v, (list, dict)) else None))
+                    if depth < WALK_DEPTH:
+                        stack.append((at, v, depth + 1))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], ["place", "kind", "size"])
+
+
+WALK_DEPTH = 3
+
+
+def structure_walk(df: DataFrame, body: str) -> DataFrame:
+    """(place, kind, n, least, most): what stands at each place of the JSON bodies down to WALK_DEPTH, of lists in the first element only: kinds, how often, and sizes of lists and objects. Torn bodies don't count."""
+    rows = df.select(F.col(body).cast("string")).mapInArrow(_walk, WALK_SCHEMA)
+    return rows.groupBy("place", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
 
 
 def structure(df: DataFrame, body: str) -> str:
