@@ -8,21 +8,28 @@ each once and in turn. Deletes stay as tombstones, so that an older change that
 The upsert runs twice, with the same SQL: over every input partition before the shuffle (a key with a third of all
 changes is then one row a partition), and over every hash bucket after it. A bucket's DuckDB holds one row a key;
 its memory is limited, beyond that it spills to the task's own scratch folder, which dies with the task.
+
+A stored state keeps its buckets in version folders, told by a manifest: a batch rewrites the buckets that it touches, exports them to a
+new folder, and publishes all at once by switching the pointer to the new manifest.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexstrata.session import cut_lineage
+
 MEMORY_LIMIT = "256MB"
 BUCKET_ROWS = 500_000
 ABSENT = -1  # the sequence of a field, or of a reset, that was never seen
@@ -98,6 +105,14 @@ class _Upsert:
             shutil.rmtree(scratch, ignore_errors=True)
 
 
+def state_schema(keys: list[str], fields: list[str]) -> str:
+    return ", ".join([*[f"`{k}` string" for k in keys], "reset_op string, reset_seq long", *[f"`{f}` string, `{f}_seq` long" for f in fields]])
+
+
+def schema_names(keys: list[str], fields: list[str]) -> list[str]:
+    return [*keys, "reset_op", "reset_seq", *[x for f in fields for x in (f, f"{f}_seq")]]
+
+
 def merge_states(states: DataFrame, keys: list[str], fields: list[str], buckets: int | None = None, memory: str = MEMORY_LIMIT, flush: int = BUCKET_ROWS) -> DataFrame:
     """One state row a key, tombstones included.
 
@@ -105,9 +120,8 @@ def merge_states(states: DataFrame, keys: list[str], fields: list[str], buckets:
     embedded database's index must fit its memory, so their number has to follow the rows.
     """
     buckets = buckets or max(states.sparkSession.sparkContext.defaultParallelism, -(-states.count() // BUCKET_ROWS))
-    schema = ", ".join([*[f"`{k}` string" for k in keys], "reset_op string, reset_seq long", *[f"`{f}` string, `{f}_seq` long" for f in fields]])
-    names = [*keys, "reset_op", "reset_seq", *[x for f in fields for x in (f, f"{f}_seq")]]
-    combined = states.select(*names).mapInArrow(_Upsert(keys, fields, memory, flush), schema)
+    schema = state_schema(keys, fields)
+    combined = states.select(*schema_names(keys, fields)).mapInArrow(_Upsert(keys, fields, memory, flush), schema)
     return combined.repartition(buckets, *keys).mapInArrow(_Upsert(keys, fields, memory), schema)
 
 
@@ -125,14 +139,99 @@ def apply_changes(changes: DataFrame, keys: dict[str, Column], seq: Column, op:
 
 
 def publish(df: DataFrame, root: str) -> str:
-    """Write all buckets to a new version folder under root and switch the pointer in one rename; readers see the old or the new whole.
+    """Write the whole of df to a new version folder under root and switch the pointer in one rename; readers see the old or the new whole.
 
     A job that dies before the switch leaves an unreferenced folder and the old version in force. Works on any Hadoop
     file system with an atomic rename.
     """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+    version = new_version()
     df.write.parquet(os.path.join(root, version))
+    switch(df.sparkSession, root, version)
+    return version
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame | None:
+    """The version in force, or None before the first."""
+    version = current(spark, root)
+    return None if version is None else spark.read.parquet(os.path.join(root, version))
+
+
+# --- a state in buckets, of which a batch rewrites those that it touches
+
+
+@dataclass
+class Manifest:
+    """Which version folder holds each bucket of a state, and its rows; buckets without rows are in none."""
+
+    buckets: int
+    at: dict[int, str] = field(default_factory=dict)
+    rows: dict[int, int] = field(default_factory=dict)
+    before: list[str] = field(default_factory=list)  # folders of the manifest before, kept for its readers
+
+
+def read_manifest(spark: SparkSession, root: str) -> Manifest | None:
+    version = current(spark, root)
+    if version is None:
+        return None
+    got = json.loads("\n".join(r[0] for r in spark.read.text(os.path.join(root, version, "manifest"), wholetext=True).collect()))
+    return Manifest(got["buckets"], {int(k): v for k, v in got["at"].items()}, {int(k): v for k, v in got["rows"].items()}, got["before"])
+
+
+def _of_manifest(spark: SparkSession, root: str, manifest: Manifest | None, keys: list[str], fields: list[str], only: list[int] | None = None) -> DataFrame:
+    paths = [os.path.join(root, v, f"bucket={b}") for b, v in (manifest.at if manifest else {}).items() if only is None or b in set(only)]
+    schema = state_schema(keys, fields)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_state(spark: SparkSession, root: str, keys: list[str], fields: list[str]) -> DataFrame:
+    """The state in force, tombstones included; empty before the first batch."""
+    return _of_manifest(spark, root, read_manifest(spark, root), keys, fields)
+
+
+def apply_batch(changes: DataFrame, root: str, keys: dict[str, Column], seq: Column, op: Column, fields: dict[str, Column], bucket_rows: int = BUCKET_ROWS, memory: str = MEMORY_LIMIT) -> list[int]:
+    """Merge a batch of changes into the state under root and publish it atomically; the buckets that were rewritten.
+
+    Only buckets to which a change of the batch belongs are read and written; what the others hold stays in the folders where it is, and the
+    manifest says so. Once buckets hold more than bucket_rows rows on average, all are rewritten into twice as many or more. Folders that
+    neither the new manifest nor the one before it names are deleted. A batch that is applied again changes nothing.
+    """
+    spark = changes.sparkSession
+    names, values = [*keys], [*fields]
+    manifest = read_manifest(spark, root) or Manifest(spark.sparkContext.defaultParallelism)
+    total = sum(manifest.rows.values())
+    grown = total > manifest.buckets * bucket_rows
+    buckets = max(2 * manifest.buckets, -(-2 * total // bucket_rows)) if grown else manifest.buckets
+    schema = state_schema(names, values)
+    bucket = F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int")
+    fresh = cut_lineage(change_states(changes, keys, seq, op, fields).select(*schema_names(names, values)).mapInArrow(_Upsert(names, values, memory, BUCKET_ROWS), schema).withColumn("bucket", bucket))
+    touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most as many numbers as there are buckets
+    stored = _of_manifest(spark, root, manifest, names, values, None if grown else touched)
+    if not touched and not grown:
+        return []
+    both = fresh.unionByName(stored.withColumn("bucket", bucket))
+    merged = both.repartition(buckets if grown else len(touched), "bucket").drop("bucket").mapInArrow(_Upsert(names, values, memory), schema)
+    version = new_version()
+    path = os.path.join(root, version)
+    merged.withColumn("bucket", bucket).write.partitionBy("bucket").parquet(path)
+    sizes = {r["bucket"]: r["count"] for r in spark.read.parquet(path).groupBy("bucket").count().collect()}
+    at = ({} if grown else manifest.at) | dict.fromkeys(sizes, version)
+    rows = ({} if grown else manifest.rows) | sizes
+    old = sorted(set(manifest.at.values()))
+    told = json.dumps({"buckets": buckets, "at": at, "rows": rows, "before": old})
+    spark.createDataFrame([(told,)], "manifest string").coalesce(1).write.text(os.path.join(path, "manifest"))
+    switch(spark, root, version)
+    for spare in set(manifest.before) - set(at.values()) - set(old):
+        fs, folder = _fs(spark, os.path.join(root, spare))
+        fs.delete(folder, True)
+    return touched
+
+
+def new_version() -> str:
+    return f"v-{uuid.uuid4().hex}"
+
+
+def switch(spark: SparkSession, root: str, version: str) -> None:
+    """Put a version in force by one atomic rename of the pointer."""
     fs, path = _fs(spark, root)
     jvm = spark.sparkContext._jvm
     fresh = jvm.org.apache.hadoop.fs.Path(path, f".CURRENT-{version}")
@@ -143,11 +242,10 @@ def publish(df: DataFrame, root: str) -> str:
     options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     context.rename(fresh, jvm.org.apache.hadoop.fs.Path(path, "CURRENT"), options)
-    return version
 
 
-def read_published(spark: SparkSession, root: str) -> DataFrame | None:
-    """The version in force, or None before the first."""
+def current(spark: SparkSession, root: str) -> str | None:
+    """The name of the version in force."""
     fs, path = _fs(spark, root)
     pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "CURRENT")
     if not fs.exists(pointer):
@@ -155,7 +253,7 @@ def read_published(spark: SparkSession, root: str) -> DataFrame | None:
     name = spark.read.text(pointer.toString()).first()[0].strip()
     if not re.fullmatch(r"v-[0-9a-f]{32}", name):
         raise ValueError(f"damaged pointer in {root}")
-    return spark.read.parquet(os.path.join(root, name))
+    return name
 
 
 def _fs(spark: SparkSession, root: str):

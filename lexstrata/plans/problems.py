@@ -361,7 +361,8 @@ def change_feed_stream(spark: SparkSession, d: str) -> DataFrame:
     root = scratch_path(spark, "feed")
     schema = table(spark, d, "ls_hst_inf").schema
     sync.apply_feed(spark, f"{d}/ls_hst_inf.parquet*", schema, f"{root}/state", f"{root}/progress", feed_parts).awaitTermination()
-    return changefeed.current_rows(changefeed.read_published(spark, f"{root}/state"), ["law_id", "mst"], ["enforcement_date", "revision_type"])
+    keys, fields = ["law_id", "mst"], ["enforcement_date", "revision_type"]
+    return changefeed.current_rows(changefeed.read_state(spark, f"{root}/state", keys, fields), keys, fields)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_report, p4_found, p4_incremental, p4_ordinals, p5_found, p5_titles, p5_incremental, p5_appended, p6_found, p7_found, p7_nodes, p7_links, p7_tables, change_feed_stream)}

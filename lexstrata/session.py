@@ -32,9 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as tasks can run at once; costly steps over few, small files get all cores, larger tables stay as they are."""
+    """df in as many partitions as tasks can run at once, if it has no more than half as many: so costly steps over few, small files get all cores; larger tables aren't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -16,14 +16,13 @@ from lexstrata.operators import changefeed
 
 
 def apply_feed(spark: SparkSession, landing: str, schema: StructType, root: str, checkpoint: str, parts: Callable[[], dict], file_format: str = "parquet") -> StreamingQuery:
-    """Apply all change files that have come since the last run, then stop; the new state is published whole once a batch.
+    """Apply all change files that have come since the last run, then stop; a batch rewrites the buckets that it touches and is published whole.
 
     parts: keys, seq, op and fields as changefeed.apply_changes takes them.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        stored = changefeed.read_published(df.sparkSession, root)
-        changefeed.publish(changefeed.apply_changes(df, **parts(), stored=stored), root)
+        changefeed.apply_batch(df, root, **parts())
 
     stream = spark.readStream.schema(schema).format(file_format).load(landing)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -98,4 +98,34 @@ def test_stream_resumes(spark, tmp_path):
         df.write.mode("append").parquet(land)
         for _ in range(2):  # the second run finds nothing new
             sync.apply_feed(spark, land, df.schema, root, check, parts).awaitTermination()
-    assert current(changefeed.read_published(spark, root)) == brute(changes)
+    assert current(changefeed.read_state(spark, root, ["k1", "k2"], ["a", "b"])) == brute(changes)
+
+
+def test_a_batch_rewrites_what_it_touches(spark, tmp_path):
+    root, names = str(tmp_path / "s"), (["k1", "k2"], ["a", "b"])
+    changes = feed(5, 300)
+    assert current(changefeed.read_state(spark, root, *names)) == []
+    assert changefeed.apply_batch(frame(spark, []), root, **parts()) == []
+    changefeed.apply_batch(frame(spark, changes), root, **parts())
+    first = changefeed.read_manifest(spark, root)
+    assert current(changefeed.read_state(spark, root, *names)) == brute(changes)
+    one = [(10_000, "I", "new", "key", "x", "y")]
+    touched = changefeed.apply_batch(frame(spark, one), root, **parts())
+    then = changefeed.read_manifest(spark, root)
+    assert len(touched) == 1 and then.buckets == first.buckets > 1
+    assert {b: v for b, v in then.at.items() if b not in touched} == {b: v for b, v in first.at.items() if b not in touched}
+    assert current(changefeed.read_state(spark, root, *names)) == brute(changes + one)
+    for n in range(3):  # again the same: nothing changes, and old folders go
+        changefeed.apply_batch(frame(spark, changes), root, **parts())
+    assert current(changefeed.read_state(spark, root, *names)) == brute(changes + one)
+    assert len([f for f in (tmp_path / "s").iterdir() if f.name.startswith("v-")]) <= 3
+
+
+def test_buckets_follow_the_rows(spark, tmp_path):
+    root, names = str(tmp_path / "s"), (["k1", "k2"], ["a", "b"])
+    changes = [(i, "I", f"k{i}", "1", "x", "y") for i in range(60)]
+    for k in range(3):
+        changefeed.apply_batch(frame(spark, changes[20 * k : 20 * k + 20]), root, **parts(), bucket_rows=4)
+    manifest = changefeed.read_manifest(spark, root)
+    assert manifest.buckets > spark.sparkContext.defaultParallelism and sum(manifest.rows.values()) == 60
+    assert current(changefeed.read_state(spark, root, *names)) == brute(changes)

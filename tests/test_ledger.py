@@ -62,6 +62,18 @@ def test_apply_version_branches(spark):
     assert rows(gone.where("valid_to is null"), "article_no") == [(400,)]
 
 
+def test_versions_of_many_laws(spark):
+    row = lambda i, law, a, c: (i, law, a, None, "t", c, c, "m0", D(2024, 1, 1), None, True)
+    old = spark.createDataFrame([row(1, "A", 100, "x"), row(2, "B", 100, "x"), row(3, "C", 100, "x"), row(4, "D", 100, "x"), (5, None, 1, None, "t", "c", "c", "m", D(2024, 1, 1), None, True)], SCHEMA)
+    new = spark.createDataFrame([(law, 100, None, "t", "y", "y", "m1", D(2025, 1, 1)) for law in "ABX"], IN)
+    told = spark.createDataFrame([("A", D(2025, 1, 1), None), ("B", D(2025, 2, 1), True), ("C", D(2025, 3, 1), False), ("X", D(2025, 1, 1), False)], "law_id string, effective_on date, repeal boolean")
+    got = rows(ledger.apply_versions(old, new, told), "law_id", "id", "content", "valid_from", "valid_to")
+    assert got == sorted([
+        ("A", 1, "x", D(2024, 1, 1), D(2025, 1, 1)), ("A", None, "y", D(2025, 1, 1), None), ("B", 2, "x", D(2024, 1, 1), D(2025, 2, 1)), ("C", 3, "x", D(2024, 1, 1), D(2025, 3, 1)),
+        ("D", 4, "x", D(2024, 1, 1), None), ("X", None, "y", D(2025, 1, 1), None), (None, 5, "c", D(2024, 1, 1), None),
+    ], key=repr)
+
+
 def test_overlaps(spark):
     adjacent = stored(spark, (1, 1, None, "a", D(2024, 1, 1), D(2025, 1, 1), False), (2, 1, None, "b", D(2025, 1, 1), None, True), (3, 1, None, "e", D(2025, 6, 1), D(2025, 6, 1), False))
     assert ledger.overlap_flags(adjacent).count() == ledger.overlap_counts(adjacent).count() == 0

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from lexstrata.operators import checks, refgraph
 
-ACT, DECREE, RULE = "001556", "002421", "006392"
-LAWS = [(ACT, "관세법", "법률"), (DECREE, "관세법 시행령", "시행령"), (RULE, "관세법 시행규칙", "시행규칙"), (RULE, "관세법 시행규칙", "시행규칙")]
+ACT, DECREE, RULE = "700001", "700002", "700003"
+LAWS = [(ACT, "하천법", "법률"), (DECREE, "하천법 시행령", "시행령"), (RULE, "하천법 시행규칙", "시행규칙"), (RULE, "하천법 시행규칙", "시행규칙")]
 
 
 @pytest.fixture
@@ -13,9 +13,13 @@ def families(spark):
     return refgraph.law_families(spark.createDataFrame(LAWS, "law_id string, law_name string, hierarchy string"))
 
 
-@pytest.mark.parametrize("word, source, want", [(None, DECREE, DECREE), ("법", DECREE, ACT), ("영", RULE, DECREE), ("규칙", ACT, RULE), ("관세법시행령", ACT, DECREE), ("이 법", DECREE, DECREE), ("외국환거래법", DECREE, None)])
+@pytest.mark.parametrize(
+    "word, source, want",
+    [("", RULE, RULE), (None, ACT, ACT), ("같은 법", RULE, RULE), ("이 영", DECREE, DECREE), ("법", RULE, ACT), ("시행령", ACT, DECREE), ("영", ACT, DECREE), ("시행규칙", DECREE, RULE), ("규칙", DECREE, RULE)]
+    + [("하천법", RULE, ACT), ("하천법 시행규칙", ACT, RULE), ("하천법시행령", RULE, DECREE), ("댐건설법", ACT, None), ("조례", ACT, None)],
+)
 def test_qualifiers(spark, word, source, want):
-    c = refgraph.resolve_qualifier(F.lit(word).cast("string"), F.lit(source), F.lit("관세법"), F.lit(ACT), F.lit(DECREE), F.lit(RULE))
+    c = refgraph.resolve_qualifier(F.lit(word).cast("string"), F.lit(source), F.lit("하천법"), F.lit(ACT), F.lit(DECREE), F.lit(RULE))
     assert spark.range(1).select(c).first()[0] == want
 
 
@@ -25,17 +29,16 @@ def refs(spark, families, law, no, content):
 
 
 def test_extraction(spark, families):
-    text = "[관세법 시행령 제233조(구비조건의 확인)]\n제233조(구비조건의 확인) 법 제226조에 따른 허가ㆍ승인의 증명은 제234조를 준용하며 「외국환거래법」 제5조는 적용하지 아니한다."
-    got = refs(spark, families, DECREE, 23300, text)
-    assert set(got) == {(ACT, 22600), (DECREE, 23400)}
-    assert got[ACT, 22600] == "법 제226조"
-    act = "[관세법 제226조(허가ㆍ승인 등의 증명 및 확인)]\n제226조(허가) 제245조를 준용한다."
-    assert set(refs(spark, families, ACT, 22600, act)) == {(ACT, 24500)}
+    """Own numbers count, other families' don't; headings and the article itself are left out; the first mention is the basis."""
+    text = "[하천법 시행규칙 제12조(제방 점검)]\n관리청은 법 제31조의2와 영 제8조에 따라 제방을 살피고, 제40조 및 법 제31조의2를 따르되 제12조와 「댐건설법」 제77조는 보지 아니한다."
+    got = refs(spark, families, RULE, 1200, text)
+    assert got == {(ACT, 3102): "법 제31조의2", (DECREE, 800): "영 제8조", (RULE, 4000): "제40조"}
+    assert set(refs(spark, families, ACT, 3102, "[하천법 제31조의2]\n이 법 제31조의2 및 시행규칙 제12조")) == {(RULE, 1200)}
 
 
 @pytest.mark.parametrize(
     "body, want",
-    [("이 방법 제3조", (ACT, 300)), ("물품에 관한 법률 제9조", (DECREE, 900)), ("시행령 제5조의2", (DECREE, 502)), ("관세법 시행규칙 제7조", (RULE, 700)), ("「관세법」 제8조", (ACT, 800)), ("같은 영 제4조", (DECREE, 400)), ("제１２조", (DECREE, 1200))],
+    [("그 공법 제3조", (ACT, 300)), ("수면에 관한 법률 제9조", (DECREE, 900)), ("시행령 제5조의2", (DECREE, 502)), ("하천법 시행규칙 제7조", (RULE, 700)), ("「하천법」 제8조", (ACT, 800)), ("같은 영 제4조", (DECREE, 400)), ("제１２조", (DECREE, 1200))],
 )
 def test_single_references(spark, families, body, want):
     assert set(refs(spark, families, DECREE, 100, f"[x]\n{body}")) == {want}
