@@ -27,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from lexstrata.llm.longspans import RollingHash, filter_bits, filter_of, maybe_in
 from lexstrata.llm.normalize import BatchSql, form_of, letters_sql, with_sql
-from lexstrata.session import cut_lineage
+from lexstrata.session import cut_lineage, spread
 
 MIN_RUN = 50
 BLOCK_CHARS = 250_000
@@ -327,7 +327,7 @@ def _spread(docs: DataFrame, items: DataFrame, total: int, limit: int, clean: bo
     for r in filter_of(seeds.select((F.col("h").bitwiseAND(F.lit(bits - 1)) + 1).alias("spot"))).toLocalIterator():  # bits / 8 octets at most, whatever the items
         flags[(r["slot"] - 1) * 4096 : r["slot"] * 4096] = np.frombuffer(r["flags"], np.uint8)
     picked = docs.select(F.col("id").alias("doc"), F.xxhash64("text").alias("sig"), "text")
-    probes = picked.mapInArrow(_Probes(spark.sparkContext.broadcast(flags), bits, limit), "doc long, sig long, chars long, h long")
+    probes = spread(picked).mapInArrow(_Probes(spark.sparkContext.broadcast(flags), bits, limit), "doc long, sig long, chars long, h long")
     hits = cut_lineage(probes.join(seeds, "h").select("doc", "sig", "chars", "block").distinct())
     salts = hits.groupBy("block").agg(F.ceil(F.sum("chars") / SALT_CHARS).cast("int").alias("salts"))
     n = hits.agg(F.count_distinct("doc")).first()[0]
@@ -351,7 +351,7 @@ def _streamed(docs, doc_id, text, items, item_id, item_text, limit, block_chars,
     if not total:
         return spark.createDataFrame([], schema), False
     block = [(r["id"], r["folded"]) for r in folded.orderBy("id", "folded").collect()]
-    return picked.mapInArrow(_Stream(spark.sparkContext.broadcast(ItemAutomaton(block, limit)), clean), schema), False
+    return spread(picked).mapInArrow(_Stream(spark.sparkContext.broadcast(ItemAutomaton(block, limit)), clean), schema), False
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = MIN_RUN, block_chars: int = BLOCK_CHARS) -> DataFrame:

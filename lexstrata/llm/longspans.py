@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lexstrata.session import cut_lineage
+from lexstrata.session import cut_lineage, spread
 
 LEAST = 200
 #: Of each round the longest run, in characters, that becomes one symbol, and the longest symbol that may be paired.
@@ -452,7 +452,7 @@ def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: Column | str
     picked = picked.where(F.length("text") >= least).withColumn("sig", F.xxhash64("text"))
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = picked.select("doc", "sig", "text").mapInArrow(_FirstPass(least), FIRST_SCHEMA)
+    anchors = spread(picked.select("doc", "sig", "text")).mapInArrow(_FirstPass(least), FIRST_SCHEMA)
     # Rows that another one stands for go anywhere; so a key's group has at most one row a batch that several documents of it share.
     route = F.when(F.col("weight") == 0, F.xxhash64("core", "doc", "at")).otherwise(F.col("core"))
     by_key = W.partitionBy("key")
