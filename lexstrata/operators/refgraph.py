@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import article_code, without_heading
+from lexstrata.session import spread
 
 # Ranks of the levels, and the words that name the citing law or a level of its family.
 RANKS = {"법률": 1, "시행령": 2, "시행규칙": 3}
@@ -45,7 +46,7 @@ def resolve_qualifier(word: Column, source: Column, base: Column, act: Column, d
 def references(articles: DataFrame, families: DataFrame) -> DataFrame:
     """(src_id, src_law, src_article, dst_law, dst_article, basis): distinct targets of each article, basis the first mention.
 
-    articles: (id, law_id, article_no, content). Laws outside the family and the article itself are left out; families'
+    articles: (id, law_id, article_no, content); texts are searched where they are read, only what is found is shuffled, so rows may be repeated. Laws outside the family and the article itself are left out; families'
     size is checked by the planner, which broadcasts them only below its own bound.
     """
     rows = articles.select("id", "law_id", "article_no", "content").join(families.select("law_id", "base", "act_id", "decree_id", "rule_id"), "law_id")
@@ -53,7 +54,7 @@ def references(articles: DataFrame, families: DataFrame) -> DataFrame:
     body = F.replace(F.replace(body, F.concat("base", F.lit(" 시행규칙")), F.concat("base", F.lit("시행규칙"))), F.concat("base", F.lit(" 시행령")), F.concat("base", F.lit("시행령")))
     pattern = F.concat(F.lit("(?U)(?:(?:"), "base", F.lit("시행규칙|"), "base", F.lit(f"시행령|{GENERIC})\\s*)?{ARTICLE}"))
     found = rows.withColumn("hits", F.regexp_extract_all(body, pattern, F.lit(0)))
-    each = found.select("id", "law_id", "article_no", "base", "act_id", "decree_id", "rule_id", F.posexplode("hits").alias("place", "hit"))
+    each = found.select("id", "law_id", "article_no", "base", "act_id", "decree_id", "rule_id", F.posexplode_outer("hits").alias("place", "hit")).where("place is not null")  # a plain posexplode has the planner search each text twice, once for a filter
     part = lambda i: F.regexp_extract("hit", f"(?U)^([\\s\\S]*){ARTICLE}$", i)
     target = each.select(
         "*",
@@ -64,12 +65,21 @@ def references(articles: DataFrame, families: DataFrame) -> DataFrame:
     return target.groupBy(F.col("id").alias("src_id"), F.col("law_id").alias("src_law"), F.col("article_no").alias("src_article"), "dst_law", "dst_article").agg(F.trim(F.min_by("hit", "place")).alias("basis"))
 
 
+def whole_articles(articles: DataFrame) -> DataFrame:
+    return articles.where(F.col("is_current") & F.col("paragraph_no").isNull())
+
+
 def article_nodes(articles: DataFrame, laws: DataFrame) -> DataFrame:
-    """Vertices: current whole articles, one a law and article number (the largest id)."""
-    rows = articles.where(F.col("is_current") & F.col("paragraph_no").isNull())
-    last = rows.groupBy("law_id", "article_no").agg(F.max_by(F.struct("id", "title", "content"), "id").alias("r")).select("law_id", "article_no", "r.*")
+    """Vertices: current whole articles, one a law and article number (the largest id); their texts aren't read."""
+    last = whole_articles(articles).groupBy("law_id", "article_no").agg(F.max_by(F.struct("id", "title"), "id").alias("r")).select("law_id", "article_no", "r.*")
     names = laws.groupBy("law_id").agg(F.min("law_name").alias("law_name"), F.min("hierarchy").alias("hierarchy"))
-    return last.join(names, "law_id").select(F.col("id").alias("article_pk"), "law_id", "law_name", "hierarchy", "article_no", "title", "content")
+    return last.join(names, "law_id").select(F.col("id").alias("article_pk"), "law_id", "law_name", "hierarchy", "article_no", "title")
+
+
+def node_references(articles: DataFrame, nodes: DataFrame, families: DataFrame) -> DataFrame:
+    """references() of the articles that are vertices."""
+    found = references(spread(whole_articles(articles).select("id", "law_id", "article_no", "content")), families)
+    return found.join(nodes.select(F.col("article_pk").alias("src_id")), "src_id", "left_semi")
 
 
 def graph_edges(nodes: DataFrame, refs: DataFrame, families: DataFrame) -> DataFrame:
@@ -104,10 +114,9 @@ def build(articles: DataFrame, laws: DataFrame, stored: tuple[DataFrame, DataFra
         raise ValueError("parts must be all, nodes or edges")
     families = law_families(laws)
     nodes = article_nodes(articles, laws) if parts != "edges" or stored is None else stored[0]
+    edges = graph_edges(nodes, node_references(articles, nodes, families), families)
     if parts == "nodes":
-        edges = stored[1] if stored else graph_edges(nodes, references(nodes.withColumnRenamed("article_pk", "id"), families), families).limit(0)
-    else:
-        edges = graph_edges(nodes, references(nodes.withColumnRenamed("article_pk", "id"), families), families)
+        edges = stored[1] if stored else edges.limit(0)
     if keep and stored:
         merged = lambda new, old, keys: new.unionByName(old.join(new.select(*keys), keys, "left_anti").select(*new.columns))
         nodes = merged(nodes, stored[0], ["article_pk"]) if parts != "edges" else nodes

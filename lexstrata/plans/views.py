@@ -68,8 +68,8 @@ def requirement_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, references, edges)."""
-    laws = table(spark, d, "laws")
+    laws, articles = table(spark, d, "laws"), table(spark, d, "law_articles").where(F.col("deleted_at").isNull())
     families = refgraph.law_families(laws)
-    nodes = refgraph.article_nodes(table(spark, d, "law_articles").where(F.col("deleted_at").isNull()), laws)
-    refs = refgraph.references(nodes.withColumnRenamed("article_pk", "id"), families)
+    nodes = refgraph.article_nodes(articles, laws)
+    refs = refgraph.node_references(articles, nodes, families)
     return nodes, refs, refgraph.graph_edges(nodes, refs, families)

@@ -54,12 +54,21 @@ def test_edges_and_expansion(spark, families):
         (1, ACT, 100, None, "목적", "[h]\n제2조와 대통령령", True), (2, ACT, 200, None, None, "[h]\n영 제1조", True),
         (3, DECREE, 100, None, "t", "[h]\n법 제2조, 법 제1조의2, 법 제1조", True), (4, RULE, 100, None, "t", "[h]\n영 제1조 및 제9조", True), (5, ACT, 100, 1, "p", "제2조", True), (6, ACT, 200, None, "old", "제1조", False),
     ]
-    nodes = refgraph.article_nodes(spark.createDataFrame(data, "id long, law_id string, article_no int, paragraph_no int, title string, content string, is_current boolean"), laws)
+    articles = spark.createDataFrame(data, "id long, law_id string, article_no int, paragraph_no int, title string, content string, is_current boolean")
+    nodes = refgraph.article_nodes(articles, laws)
     assert rows(nodes, "article_pk") == [(1,), (2,), (3,), (4,)]
-    found = refgraph.references(nodes.withColumnRenamed("article_pk", "id"), families)
+    found = refgraph.node_references(articles, nodes, families)
     edges = refgraph.graph_edges(nodes, found, families)
     assert rows(edges, "src", "dst", "rel", "n") == [(1, 2, "CITES", 1), (1, 3, "DELEGATES", 1), (2, 3, "DELEGATES", 2), (3, 4, "DELEGATES", 1)]
     assert rows(refgraph.expand(spark.createDataFrame([(2,), (99,)], "article_pk long"), edges, nodes), "rel", "dst", "title") == [("DELEGATES", 3, "t")]
+    stale = spark.createDataFrame([(8, 9, "CITES", "x", 1), (1, 2, "CITES", "old", 7)], "src long, dst long, rel string, basis string, n long")
+    kept = refgraph.build(articles, laws, (nodes, stale), keep=True)
+    assert rows(kept[1], "src", "dst", "rel", "n") == [*rows(edges, "src", "dst", "rel", "n"), (8, 9, "CITES", 1)] and rows(kept[0]) == rows(nodes)
+    assert rows(refgraph.build(articles, laws, (nodes, stale), parts="nodes")[1]) == rows(stale)
+    assert refgraph.build(articles, laws, parts="nodes")[1].count() == 0
+    assert rows(refgraph.build(articles, laws, (nodes.limit(0), stale), parts="edges")[0]) == []
+    with pytest.raises(ValueError):
+        refgraph.build(articles, laws, parts="some")
     assert {r.n_bad for r in checks.graph_checks(edges, nodes, families).collect()} == {0}
 
 
