@@ -52,15 +52,17 @@ def new_deliveries(seen: DataFrame | None, deliveries: DataFrame, keys: list[str
     return deliveries if seen is None else _met(deliveries, seen, ["row_id", *keys, start], "left_anti")
 
 
-def satellite_rows(stored: DataFrame | None, deliveries: DataFrame, keys: list[str], start: str, attributes: list[str], carried: list[str]) -> DataFrame:
+def satellite_rows(stored: DataFrame | None, deliveries: DataFrame, keys: list[str], start: str, attributes: list[str], carried: list[str], counted: bool = False) -> DataFrame:
     """Rows to append to a satellite: (keys, start, loaded, row_id, hash_diff, carried, attributes).
 
     stored: the satellite so far, of earlier load times than all deliveries; None: empty. deliveries: the load's new ones
     (new_deliveries). Of a load the counting row of each key and start is looked at; it is appended if there's none stored or if the
-    stored one that counts has another hash_diff (over carried and attributes). Nothing stored changes.
+    stored one that counts has another hash_diff (over carried and attributes). Nothing stored changes. counted: deliveries hold
+    counting rows only, of counting().
     """
     columns = [*keys, start, "loaded", "row_id", "hash_diff", *carried, *attributes]
-    rows = counting(deliveries, keys, start).withColumn("hash_diff", hash_diff([*carried, *attributes])).select(*columns)
+    rows = deliveries if counted else counting(deliveries, keys, start)
+    rows = rows.withColumn("hash_diff", hash_diff([*carried, *attributes])).select(*columns)
     if stored is None:
         return rows
     return _met(rows, counting(stored, keys, start).select(*keys, start, "hash_diff"), [*keys, start, "hash_diff"], "left_anti")

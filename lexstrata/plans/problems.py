@@ -188,8 +188,9 @@ def satellites(versions: DataFrame) -> list[list[str]]:
 
 def attribute_periods(spark: SparkSession, d: str, attribute: str) -> DataFrame:
     """All versions loaded at once into the satellite that has the attribute, and its periods."""
-    (group,) = [g for g in satellites(live_versions(spark, d)) if attribute in g]
-    sat = history.satellite_rows(None, live_deliveries(live_rows(spark, d)), ARTICLE_KEY, "valid_from", group, CARRIED)
+    versions = written(live_versions(spark, d), "versions")  # read twice: for the rates and for the satellite
+    (group,) = [g for g in satellites(versions) if attribute in g]
+    sat = history.satellite_rows(None, versions, ARTICLE_KEY, "valid_from", group, CARRIED, counted=True)
     return history.periods(sat, ARTICLE_KEY, "valid_from", "valid_to", [attribute], one_load=True)
 
 
