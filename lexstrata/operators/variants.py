@@ -4,7 +4,7 @@ A bottom-up tree automaton runs while the JSON text is parsed: every object is l
 known, and its state is computed from its labels and the states of what they hold. States are canonical
 strings, hence the same in every task: 't' a text, 'T' a list of texts, '-' nothing (null, absent, empty), '{..}' an
 object with the states of its fields, '[..]' a list with the distinct states in it. Beside its state an object keeps
-that state's first layer, what kind of thing each of its fields holds, and by this it is routed to its level's subtype.
+that state's first layer, the states of its fields, and by this it is routed to its level's subtype.
 
 From the root the levels of interest are then walked top-down. Every object on a level becomes a row with the
 supertype's keys (record, level, own and ancestors' places, parent's node id), its subtype and its texts.
@@ -71,15 +71,16 @@ def plain_text(value) -> str | None:
 
 @dataclass(slots=True)
 class Shape:
-    """An object in the automaton: its cleaned fields, its state, and that state's first layer {label: kind}."""
+    """An object in the automaton: its cleaned fields, its state, and that state's first layer {label: state}."""
 
     fields: dict
     state: str
     layer: dict
 
 
-def kind_of(value, state: str) -> str:
+def field_kind(shape: Shape, label: str) -> str:
     """A field's kind by its state: '-' nothing, 't' a text, 'o' an object, 'T' a list of texts, 'm' a list in which objects are, 'l' another list."""
+    state, value = shape.layer.get(label, "-"), shape.fields.get(label)
     if state in ("-", "t", "T"):
         return state
     if isinstance(value, Shape):
@@ -119,8 +120,7 @@ def leave_object(pairs: list[tuple[str, object]]) -> Shape:
     """The automaton's transition, called for each object after all it holds: labels without white space (a later label of the same name wins) and their states; fields that hold nothing don't count."""
     fields = {clean_key(k): v for k, v in pairs}
     states = {k: s for k, v in fields.items() if (s := state_of(v)) != "-"}
-    layer = {k: kind_of(fields[k], s) for k, s in states.items()}
-    return Shape(fields, _bounded("{" + ",".join(sorted(f"{k}:{s}" for k, s in states.items())) + "}"), layer)
+    return Shape(fields, _bounded("{" + ",".join(sorted(f"{k}:{s}" for k, s in states.items())) + "}"), states)
 
 
 _BLANK = re.compile(r"[ \t\n\r]*")
@@ -198,10 +198,10 @@ def subtype(level: int, shape: Shape) -> str:
     """
     text, _ = LEVEL_FIELDS[LEVELS[level]]
     kind = "head" if level == 0 and plain_text(shape.fields.get(UNIT_FLAG)) not in (None, "조문") else "item"
-    has = {"-": "bare", "t": "text"}.get(shape.layer.get(text, "-"), "texts")
+    has = {"-": "bare", "t": "text"}.get(field_kind(shape, text), "texts")
     if level + 1 == len(LEVELS):
         return f"{kind}_{has}"
-    below = {"o": "one", "m": "many"}.get(shape.layer.get(LEVELS[level + 1], "-"), "leaf")
+    below = {"o": "one", "m": "many"}.get(field_kind(shape, LEVELS[level + 1]), "leaf")
     return f"{kind}_{has}_{below}"
 
 
