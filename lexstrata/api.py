@@ -12,7 +12,7 @@ from lexstrata.functions.temporal import as_day, in_force
 from lexstrata.operators import refgraph, requirements
 from lexstrata.operators import search as retrieval
 from lexstrata.plans import views
-from lexstrata.session import scratch_path
+from lexstrata.session import scratch_path, written
 
 
 @dataclass
@@ -42,7 +42,8 @@ class Repository:
             vectors = self.spark.read.parquet(self.index)
             vector = retrieval.hashed_model()([query])[0].tolist()
         day = as_day(as_of) if as_of else None
-        return retrieval.search(views.versions(self.spark, self.path), query, arm, limit, day, vectors, vector, views.texts(self.spark, self.path))
+        versions = written(views.versions(self.spark, self.path, *retrieval.LEDGER), "versions")
+        return retrieval.search(versions, query, arm, limit, day, vectors, vector, views.texts(self.spark, self.path))
 
     def resolve_as_of(self, law_id: str, article_no: int, paragraph_no: int | None = None, as_of: dt.date | str | None = None) -> DataFrame:
         """The version in force on a day: one row or none."""

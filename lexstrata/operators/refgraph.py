@@ -53,14 +53,12 @@ def references(articles: DataFrame, families: DataFrame) -> DataFrame:
     body = F.replace(F.replace(without_heading("content"), F.lit("「"), F.lit("")), F.lit("」"), F.lit(""))
     body = F.replace(F.replace(body, F.concat("base", F.lit(" 시행규칙")), F.concat("base", F.lit("시행규칙"))), F.concat("base", F.lit(" 시행령")), F.concat("base", F.lit("시행령")))
     pattern = F.concat(F.lit("(?U)(?:(?:"), "base", F.lit("시행규칙|"), "base", F.lit(f"시행령|{GENERIC})\\s*)?{ARTICLE}"))
-    found = rows.withColumn("hits", F.regexp_extract_all(body, pattern, F.lit(0)))
-    each = found.select("id", "law_id", "article_no", "base", "act_id", "decree_id", "rule_id", F.posexplode_outer("hits").alias("place", "hit")).where("place is not null")  # a plain posexplode has the planner search each text twice, once for a filter
-    part = lambda i: F.regexp_extract("hit", f"(?U)^([\\s\\S]*){ARTICLE}$", i)
-    target = each.select(
-        "*",
-        resolve_qualifier(F.regexp_replace(part(1), "(?U)\\s+$", ""), F.col("law_id"), F.col("base"), F.col("act_id"), F.col("decree_id"), F.col("rule_id")).alias("dst_law"),
-        article_code(part(2), part(3)).alias("dst_article"),
-    )
+    # What a mention says is taken apart once, inside the array: expressions over a row would be repeated in every branch and filter that uses them.
+    part = lambda h, i: F.regexp_extract(h, f"(?U)^([\\s\\S]*){ARTICLE}$", i)
+    told = lambda h: F.struct(h.alias("hit"), F.regexp_replace(part(h, 1), "(?U)\\s+$", "").alias("word"), article_code(part(h, 2), part(h, 3)).alias("dst_article"))
+    found = rows.withColumn("hits", F.transform(F.regexp_extract_all(body, pattern, F.lit(0)), told))
+    each = found.select("id", "law_id", "article_no", "base", "act_id", "decree_id", "rule_id", F.posexplode_outer("hits").alias("place", "m")).where("place is not null")  # a plain posexplode has the planner search each text twice, once for a filter
+    target = each.select("id", "law_id", "article_no", "place", "m.hit", "m.dst_article", resolve_qualifier(F.col("m.word"), F.col("law_id"), F.col("base"), F.col("act_id"), F.col("decree_id"), F.col("rule_id")).alias("dst_law"))
     target = target.where(F.col("dst_law").isNotNull() & F.col("dst_article").isNotNull() & ~((F.col("dst_law") == F.col("law_id")) & (F.col("dst_article") == F.col("article_no"))))
     return target.groupBy(F.col("id").alias("src_id"), F.col("law_id").alias("src_law"), F.col("article_no").alias("src_article"), "dst_law", "dst_article").agg(F.trim(F.min_by("hit", "place")).alias("basis"))
 

@@ -29,6 +29,7 @@ from lexstrata.operators.ledger import KEY
 from lexstrata.session import cut_lineage, spread
 
 ARMS = ("dense", "bm25")
+LEDGER = [*KEY, "valid_from", "valid_to", "is_current"]  # what a search needs of a ledger's rows beside id and loaded_at
 RECALL = 3
 API_LIMIT = 20
 BLOCK_QUERIES = 2_000
@@ -401,17 +402,18 @@ def search(
 ) -> DataFrame:
     """(article_pk, score, text) of one arm over current rows; with as_of, three times as many are recalled, re-resolved and cut.
 
-    articles: one row an id. Where these come without content but with loaded_at, texts (id, loaded_at, content) holds it, deliveries may be
-    repeated there: tokens are counted where texts are read, and only those of the hits are ever joined.
+    articles: one row an id, used several times (write it, if it's costly). Where these come without content but with loaded_at, texts (id, loaded_at, content) holds it, deliveries may be
+    repeated there: tokens are counted where texts are read (if texts tells is_current too, of these only), and only those of the hits are ever joined.
     """
     if arm not in ARMS:
         raise ValueError(f"arm must be one of {ARMS}")
     at = ["id"] if texts is None else ["id", "loaded_at"]
-    texts = (articles if texts is None else texts).select(*at, "content")
+    texts = articles if texts is None else texts
+    scanned, texts = (texts.where("is_current") if "is_current" in texts.columns else texts), texts.select(*at, "content")
     current = articles.where("is_current")
     recall = limit * RECALL if as_of is not None else limit
     if arm == "bm25":
-        posted = postings(texts.select(F.struct(*at).alias("row"), "content"), "row", "content", lexical.query_terms(query))
+        posted = postings(scanned.select(F.struct(*at).alias("row"), "content"), "row", "content", lexical.query_terms(query))
         own = _met(posted.select("doc_id.*", "token_id", "first", "weight"), current.select(*at), at, "left_semi").distinct()
         hits = _scored(own.withColumnRenamed("id", "doc_id"), current.agg(F.count(F.lit(1))), recall)
     else:

@@ -123,7 +123,7 @@ idx AS (SELECT * FROM kept WHERE point NOT IN (SELECT point FROM fresh) UNION AL
 
 
 def _index_state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = views.versions(spark, d).select("id", *KEY, "version_mst", "valid_from", "valid_to", "is_current", "parent_article_pk", index.POINT)
+    rows = views.versions(spark, d, *KEY, "version_mst", "valid_from", "valid_to", "is_current", "parent_article_pk", index.POINT).drop("loaded_at")
     points = rows.where(F.col(index.POINT).isNotNull()).select(F.col(index.POINT).alias("point"), F.col("id").alias("article_pk"))
     return rows, points
 

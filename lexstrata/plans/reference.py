@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexstrata.functions import lexical, temporal, text
 from lexstrata.operators import catalog, checks, chunking, history, ledger, refgraph, requirements, search, snapdiff
 from lexstrata.plans import body_sql, views
-from lexstrata.session import scratch_path, spread, table
+from lexstrata.session import scratch_path, spread, table, written
 
 AS_OF = "2024-06-30"
 QUERY = "수입물품의 통관 신고 보세구역"
@@ -395,7 +395,8 @@ def _search(spark: SparkSession, d: str, arm: str, as_of: Column | None = None)
     vectors = table(spark, d, "embeddings")
     asked = vectors.where("vec_id = 0 and embedding is not null").first() if arm == "dense" else None
     stored = vectors.select(F.col("vec_id").alias("id"), "embedding")
-    return search.search(views.versions(spark, d), QUERY, arm, 10, as_of, stored, list(asked["embedding"]) if asked else [], views.texts(spark, d))
+    versions = written(views.versions(spark, d, *search.LEDGER), "versions")
+    return search.search(versions, QUERY, arm, 10, as_of, stored, list(asked["embedding"]) if asked else [], views.texts(spark, d))
 
 
 @query(f"WITH {_CUR.format(n=10)} SELECT doc_id AS article_pk, round(score, 6) AS score, content AS text FROM bm JOIN cur ON cur.id = doc_id")

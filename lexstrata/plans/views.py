@@ -15,16 +15,16 @@ def live(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "law_articles").where(F.col("deleted_at").isNull() & F.col("id").isNotNull())
 
 
-def versions(spark: SparkSession, d: str) -> DataFrame:
-    """Live rows of the version ledger without their texts, each id once (its earliest delivery); (id, loaded_at) finds the text in texts()."""
+def versions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Live rows of the version ledger without their texts, each id once (its earliest delivery): (id, loaded_at, columns; by default all); (id, loaded_at) finds the text in texts()."""
     rows = live(spark, d).drop("content")
-    first = F.min_by(F.struct(*[c for c in rows.columns if c not in ("id", "loaded_at")]), "loaded_at")
-    return rows.groupBy("id").agg(F.min("loaded_at").alias("loaded_at"), F.coalesce(first, F.any_value(F.struct(*[c for c in rows.columns if c not in ("id", "loaded_at")]))).alias("r")).select("id", "loaded_at", "r.*")
+    row = F.struct(*(columns or [c for c in rows.columns if c not in ("id", "loaded_at")]))
+    return rows.groupBy("id").agg(F.min("loaded_at").alias("loaded_at"), F.coalesce(F.min_by(row, "loaded_at"), F.any_value(row)).alias("r")).select("id", "loaded_at", "r.*")
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """(id, loaded_at, content) of every delivery of a live row."""
-    return live(spark, d).select("id", "loaded_at", "content")
+    """(id, loaded_at, is_current, content) of every delivery of a live row."""
+    return live(spark, d).select("id", "loaded_at", "is_current", "content")
 
 
 def slim_ledger(spark: SparkSession, d: str, *columns: str) -> DataFrame:
