@@ -394,7 +394,7 @@ def resolve_hits(hits: DataFrame, current: DataFrame, versions: DataFrame, day:
     """
     ranked = hits.join(current.select(F.col("id").alias("doc_id"), *KEY), "doc_id")
     met = _met(F.broadcast(ranked), versions.where(in_force(day)), KEY)  # at most `limit` * RECALL rows
-    return met.orderBy(F.desc("score"), "doc_id").limit(limit).select("doc_id", "score", *[F.col(f"r.{c}") for c in versions.columns])
+    return met.orderBy(F.desc("score"), "doc_id", "r.id").limit(limit).select("doc_id", "score", *[F.col(f"r.{c}") for c in versions.columns])
 
 
 def search(

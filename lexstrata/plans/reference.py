@@ -407,7 +407,7 @@ def search_current(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {_CUR.format(n=30)}, r AS (SELECT bm.*, law_id, article_no, paragraph_no FROM bm JOIN cur ON cur.id = doc_id)
     SELECT o.id AS article_pk, round(score, 6) AS score, o.content AS text FROM r JOIN one o ON o.law_id = r.law_id AND o.article_no = r.article_no AND o.paragraph_no IS NOT DISTINCT FROM r.paragraph_no
-    WHERE o.valid_from <= DATE '{AS_OF}' AND (o.valid_to IS NULL OR o.valid_to > DATE '{AS_OF}') ORDER BY round(score, 9) DESC, doc_id LIMIT 10"""
+    WHERE o.valid_from <= DATE '{AS_OF}' AND (o.valid_to IS NULL OR o.valid_to > DATE '{AS_OF}') ORDER BY round(score, 9) DESC, doc_id, o.id LIMIT 10"""
 )
 def search_as_of(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "bm25", day()).withColumn("score", F.round("score", 6))
@@ -425,7 +425,7 @@ def search_dense(spark: SparkSession, d: str) -> DataFrame:
 
 _THEN = f"""SELECT o.id AS article_pk, round(score, 6) AS score, o.content AS text, r.doc_id FROM (SELECT bm.*, law_id, article_no, paragraph_no FROM bm JOIN cur ON cur.id = doc_id) r
     JOIN one o ON o.law_id = r.law_id AND o.article_no = r.article_no AND o.paragraph_no IS NOT DISTINCT FROM r.paragraph_no
-    WHERE o.valid_from <= DATE '{AS_OF}' AND (o.valid_to IS NULL OR o.valid_to > DATE '{AS_OF}') ORDER BY round(score, 9) DESC, r.doc_id LIMIT 10"""
+    WHERE o.valid_from <= DATE '{AS_OF}' AND (o.valid_to IS NULL OR o.valid_to > DATE '{AS_OF}') ORDER BY round(score, 9) DESC, r.doc_id, o.id LIMIT 10"""
 
 
 @query(f"WITH {_DCUR.format(n=30)} SELECT article_pk, score, text FROM ({_THEN})")

@@ -18,6 +18,7 @@ def spark():
     session = local_session(4, "3g", "tests")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
