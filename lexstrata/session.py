@@ -34,7 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as tasks can run at once, if it has no more than half as many: so costly steps over few, small files get all cores; larger tables aren't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+    query = df._jdf.queryExecution()
+    if query.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df  # behind a shuffle; to ask for its partitions would run it
+    return df.repartition(cores) if 2 * query.toRdd().getNumPartitions() <= cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
